@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.llm import leaks, spans, terms, tokens
+from stemma.llm import canon, leaks, spans, terms, tokens
 from stemma.plans.registry import Registry
 from stemma.tables import load
 
@@ -89,3 +89,20 @@ def p10_shared(spark: SparkSession, sf: str) -> DataFrame:
     """How much of each document stands in other documents too."""
     c = spans.Shared(load(spark, sf, "documents", "doc_id", "text")).coverage()
     return c.withColumn("shared_part", F.round(F.col("shared_chars") / F.col("n_chars"), 4))
+
+
+@REG.query()
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    a = load(spark, sf, "affiliations_raw", "affil_id", "raw_affiliation", "n_resolved_institutions")
+    return canon.found(a, load(spark, sf, "institutions"), load(spark, sf, "country_regions"))
+
+
+@REG.query()
+def p4_unmatched(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each unresolved string that means no listed entry was typed."""
+    a = load(spark, sf, "affiliations_raw", "affil_id", "raw_affiliation", "n_resolved_institutions")
+    open_ = a.where("n_resolved_institutions = 0 and affil_id is not null").dropDuplicates(["affil_id"])
+    m = canon.mapped(open_, load(spark, sf, "institutions"), load(spark, sf, "country_regions"))
+    none = m.where(F.col("institution_id") == canon.NONE).select("affil_id")
+    hit = open_.join(none, "affil_id", "left_semi")
+    return hit.groupBy("raw_affiliation").agg(F.count("*").alias("n"))
