@@ -34,13 +34,15 @@ CONCEPTS: dict[str, str] = {
     "clinic": "clinic clinics clin clinica klinik",
     "analytics": "analytics analytic analyt",
     "robotics": "robotics robotic robot",
-    "observatory": "observatory observatories obs observatorio",
-    "biosciences": "biosciences bioscience biosci",
+    "observatory": "observatory observatories obs observ observatorio",
+    "biosciences": "biosciences bioscience biosci biosc",
     "laboratory": "laboratory laboratories lab labs laboratoire laboratorio",
-    "software": "software softw",
-    "foundation": "foundation foundations found fdn fundacion stiftung",
+    "software": "software softw soft sw",
+    "foundation": "foundation foundations found fdn fundacion fundation stiftung",
     "seed": "seed seeds",
     "company": "company comp co",
+    "diagnostics": "diagnostics diagnostic diagn diag",
+    "therapeutics": "therapeutics therapeutic tx ther therap",
     "group": "group grp",
 }
 #: One word that stands for several concepts.
