@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.llm import canon, leaks, spans, terms, tokens
+from stemma.llm import canon, clusters, languages, leaks, spans, terms, tokens, variants
 from stemma.plans.registry import Registry
 from stemma.tables import load
 
@@ -106,3 +106,49 @@ def p4_unmatched(spark: SparkSession, sf: str) -> DataFrame:
     none = m.where(F.col("institution_id") == canon.NONE).select("affil_id")
     hit = open_.join(none, "affil_id", "left_semi")
     return hit.groupBy("raw_affiliation").agg(F.count("*").alias("n"))
+
+
+def _organisations(spark: SparkSession, sf: str) -> DataFrame:
+    a = load(spark, sf, "authorship_inst", "institution_id", "institution_name")
+    b = load(spark, sf, "affiliations_raw", "raw_affiliation", "n_resolved_institutions", "resolved_institution_id")
+    return variants.organisations(variants.spellings_of(a, b))
+
+
+@REG.query()
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return variants.pairs(_organisations(spark, sf))
+
+
+@REG.query()
+def p5_organisations(spark: SparkSession, sf: str) -> DataFrame:
+    """Every spelling with its organisation; one row per spelling."""
+    return _organisations(spark, sf)
+
+
+def _clustered(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.clustered(
+        load(spark, sf, "works", "work_id", "title", "abstract", "loaded_at"), load(spark, sf, "work_topics", "work_id", "cluster")
+    )
+
+
+@REG.query()
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.corrected(_clustered(spark, sf))
+
+
+@REG.query()
+def p6_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Size and three most typical members of every cluster."""
+    return clusters.described(_clustered(spark, sf))
+
+
+@REG.query()
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return languages.found(load(spark, sf, "works", "work_id", "language", "abstract", "loaded_at"))
+
+
+@REG.query()
+def p7_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Every stretch of every abstract with its language and confidence."""
+    s = languages.segmented(load(spark, sf, "works", "work_id", "language", "abstract", "loaded_at"))
+    return s.select("work_id", "segment", "language", F.round("confidence", 4).alias("confidence"), F.length("text").alias("n_chars"))
