@@ -45,8 +45,8 @@ BUCKETS, DIM = 1 << 15, 16
 EPOCHS, RATE, BATCH = 4, 2.0, 32
 #: Confidence below which a sentence is rejected.
 REJECT = 0.6
-#: Letters below which a stretch between stops is part of the sentence before it.
-LEAST_LETTERS = 12
+#: Letters, and different words, below which a stretch between stops is part of the sentence before it.
+LEAST_LETTERS, LEAST_WORDS = 12, 4
 
 _STOP = re.compile(r"(?<=[.!?…])(?=\s|<|$)|(?<=[。！？])|<\s*/?\s*(?:p|br|div|li|sec|title)\b[^>]*>")
 _TAG = re.compile(r"<[^>]*>|&[a-zA-Z]+;|&#\d+;")
@@ -71,9 +71,9 @@ def sentences(text: str | None) -> list[str]:
     out: list[str] = []
     for part in _STOP.split(text or ""):
         part = _TAG.sub(" ", part).strip()
-        if not (letters := _weight(part)):
+        if not any(map(str.isalpha, part)):
             continue
-        if out and min(letters, _weight(out[-1])) < LEAST_LETTERS:
+        if out and (_short(part) or _short(out[-1])):
             out[-1] += " " + part
         else:
             out.append(part)
@@ -85,6 +85,12 @@ def _weight(s: str) -> int:
     return sum(map(str.isalpha, s)) + 2 * sum(1 for c in s if "⺀" <= c <= "鿿")
 
 
+def _short(s: str) -> bool:
+    """Whether a stretch is too little to be a sentence: few letters, or a few words and no ideographs."""
+    wide = sum(1 for c in s if "⺀" <= c <= "鿿")
+    return _weight(s) < LEAST_LETTERS or (wide < 4 and len(set(_GAP.sub(" ", s).lower().split())) < LEAST_WORDS)
+
+
 def unquoted(sentence: str) -> str:
     """The sentence without quotations and brackets, which may be foreign; all of it where little else would remain."""
     rest = _QUOTED.sub(" ", sentence)
