@@ -6,6 +6,12 @@ cluster's text is ever concatenated, so word pairs stay within one document.
 
 from __future__ import annotations
 
+import zipfile
+from functools import lru_cache
+from pathlib import Path
+
+import pyspark
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, PCA, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer, StopWordsRemover
@@ -23,9 +29,16 @@ DOMAIN_STOP = (
 WORD = r"(?U)\b\w\w+\b"
 
 
+@lru_cache
 def stop_words() -> list[str]:
-    """English stop words of Spark and those of the field."""
-    return sorted({*StopWordsRemover.loadDefaultStopWords("english"), *DOMAIN_STOP})
+    """Spark's English stop words, read from its library so that no session is needed, and those of the field."""
+    jars = sorted((Path(pyspark.__file__).parent / "jars").glob("spark-mllib_*.jar"))
+    if jars:
+        with zipfile.ZipFile(jars[0]) as z:
+            english = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split()
+    else:
+        english = StopWordsRemover.loadDefaultStopWords("english")
+    return sorted({*english, *DOMAIN_STOP})
 
 
 def document_text(works: DataFrame, limit: int = 4000) -> DataFrame:
@@ -70,8 +83,9 @@ def latent(rows: DataFrame, id_col: str, components: int = 256, col: str = "feat
 
     size = rows.select(col).first()[0].size
     k = max(1, min(components, size - 1))
-    old = rows.select(col).rdd.map(lambda r: OldVectors.fromML(r[0]))
+    old = rows.select(col).rdd.map(lambda r: OldVectors.fromML(r[0])).persist(StorageLevel.MEMORY_AND_DISK)
     v = RowMatrix(old).computeSVD(k, computeU=False).V.toArray()
+    old.unpersist()
     shared = rows.sparkSession.sparkContext.broadcast(v)  # vocabulary x components, both bounded
 
     def project(r) -> tuple:
@@ -135,14 +149,11 @@ def top_terms(scores: DataFrame, n: int = 6) -> DataFrame:
     """(cluster, terms): greedily the n best terms of each cluster that don't repeat one another.
 
     A term is passed over when it is a word of a chosen term, a chosen term is a
-    word of it, or both are equal without their final s's.  Of n chosen terms
-    each can shut out only its own words and forms, so a prefix of the ranking
-    of bounded length is enough: it is taken by a window before the fold.
+    word of it, or both are equal without their final s's.  A cluster's list is
+    bounded by the vocabulary of ``cluster_terms``.  Ties go to the later term.
     """
-    w = Window.partitionBy("cluster").orderBy(F.desc("score"), F.desc("term"))
-    # a chosen pair shuts out two words and a chosen word its plural: beyond these come pairs holding a chosen word
-    ranked = scores.withColumn("k", F.row_number().over(w)).where(F.col("k") <= 400)
-    lists = ranked.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "term"))), lambda s: s["term"]).alias("all"))
+    ranked = F.reverse(F.array_sort(F.collect_list(F.struct("score", "term"))))
+    lists = scores.groupBy("cluster").agg(F.transform(ranked, lambda s: s["term"]).alias("all"))
     stem = lambda t: F.regexp_replace(t, "s+$", "")
 
     def fold(chosen: Column, t: Column) -> Column:
