@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -32,16 +33,35 @@ def _ascii(s: pd.Series) -> pd.Series:
 def ascii_fold(c: Column) -> Column:
     """Compatibility decomposition, then every character beyond ASCII dropped (so 'ø' vanishes, 'é' becomes 'e').
 
-    There is no built-in for the decomposition; this is the one Arrow UDF of the cascade.
+    There is no built-in for the decomposition; this is the one Arrow UDF of the
+    cascade.  It is declared non-deterministic (which it is not) so that filters
+    on what is computed from it are not pushed below it and evaluated twice.
     """
-    return _ascii(c)
+    return _ascii.asNondeterministic()(c)
+
+
+_JUNK, _SHORT, _BLANKS = re.compile("[^a-z0-9, ]+"), re.compile(rf"\b({'|'.join(a for a, _ in ABBREVIATIONS)})\b"), re.compile(r"\s+")
+
+
+def normalized(s: str) -> str:
+    """The normal form of one string; no abbreviation's expansion is another abbreviation, so one pass does for all."""
+    full = dict(ABBREVIATIONS)
+    s = unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode().lower()
+    return _BLANKS.sub(" ", _SHORT.sub(lambda m: full[m[1]], _JUNK.sub(" ", s))).strip(" ,")
+
+
+@F.pandas_udf(T.StringType())
+def _normalized(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else normalized(x))
 
 
 def normalize_org(c: Column) -> Column:
-    """Folded, lower-case text of a-z, 0-9, commas and single blanks with abbreviations written out."""
-    s = F.regexp_replace(F.lower(ascii_fold(c)), "[^a-z0-9, ]+", " ")
-    s = reduce(lambda x, ab: F.regexp_replace(x, rf"\b{ab[0]}\b", ab[1]), ABBREVIATIONS, s)
-    return F.btrim(F.regexp_replace(s, r"\s+", " "), F.lit(" ,"))
+    """Folded, lower-case text of a-z, 0-9, commas and single blanks with abbreviations written out.
+
+    As the decomposition needs Python anyway, the whole form is made in the same
+    Arrow pass rather than by seventeen regular expressions around it.
+    """
+    return _normalized.asNondeterministic()(c)
 
 
 def org_segments(norm: Column) -> Column:

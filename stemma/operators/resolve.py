@@ -10,9 +10,9 @@ block at a time; the best hit over all blocks wins.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,30 +64,42 @@ def token_sort_ratio(a: str, b: str) -> float:
     return 200.0 * lcs(a, b) / (len(a) + len(b)) if a or b else 100.0
 
 
+_LETTERS = {c: i for i, c in enumerate(" abcdefghijklmnopqrstuvwxyz0123456789")}
+
+
+def _bag(s: str) -> np.ndarray:
+    out = np.zeros(len(_LETTERS) + 1, np.int16)
+    for c in s:
+        out[_LETTERS.get(c, -1)] += 1
+    return out
+
+
 class NameIndex:
-    """Names by length, for the best match at or above a threshold."""
+    """Names ordered by length, with their letter counts, for the best match at or above a threshold."""
 
     def __init__(self, names: list[tuple[str, str]], threshold: float) -> None:
         self.t = threshold
-        self.by_len: dict[int, list[tuple[int, str, str, Counter]]] = {}
-        for rank, (i, name) in enumerate(names):
-            s = token_sort(name)
-            self.by_len.setdefault(len(s), []).append((rank, s, i, Counter(s)))
+        rows = sorted((len(s := token_sort(n)), rank, s, i) for rank, (i, n) in enumerate(names))
+        self.rows = rows
+        self.size = np.array([r[0] for r in rows], np.int64)
+        self.bags = np.array([_bag(r[2]) for r in rows]).reshape(-1, len(_LETTERS) + 1)
 
     def best(self, segment: str) -> tuple[float, int, str] | None:
         """(score, rank, id): highest score, ties to the first name."""
         s = token_sort(segment)
-        n, bag = len(s), Counter(s)
+        n, bag = len(s), _bag(s)
+        lo = np.searchsorted(self.size, int(n * self.t / (200 - self.t)), "left")
+        hi = np.searchsorted(self.size, int(n * (200 - self.t) / max(self.t, 1e-9)) + 1, "right")
+        # no common subsequence is longer than the letters in common
+        most = 200.0 * np.minimum(self.bags[lo:hi], bag).sum(1) / np.maximum(1, n + self.size[lo:hi])
         top: tuple[float, int, str] | None = None
-        low = int(n * self.t / (200 - self.t)) if self.t < 200 else n
-        for m in range(low, int(n * (200 - self.t) / max(self.t, 1e-9)) + 2):
-            for rank, name, i, other in self.by_len.get(m, ()):
-                need = max(self.t, top[0] if top else 0.0) * (n + m) / 200 - 1e-9
-                if min(n, m) < need or (bag & other).total() < need:
-                    continue
-                score = 200.0 * lcs(s, name) / (n + m) if n + m else 100.0
-                if score >= self.t and (top is None or (score, -rank) > (top[0], -top[1])):
-                    top = (score, rank, i)
+        for j in np.argsort(-most, kind="stable"):
+            if most[j] < self.t - 1e-9 or (top and most[j] < top[0] - 1e-9):
+                break
+            m, rank, name, i = self.rows[lo + j]
+            score = 200.0 * lcs(s, name) / (n + m) if n + m else 100.0
+            if score >= self.t and (top is None or (score, -rank) > (top[0], -top[1])):
+                top = (score, rank, i)
         return top
 
 
@@ -100,6 +112,8 @@ def fuzzy_hits(norms: DataFrame, institutions: DataFrame, threshold: float = 90.
     spark = norms.sparkSession
     names = institutions.where("institution_id is not null and norm_name <> ''")
     blocks = max(1, -(-names.count() // NAME_BLOCK))
+    # the scoring is work on few bytes: spread by number of rows, which AQE does not undo
+    norms = norms.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     segs = norms.select("norm", F.posexplode(org_segments(F.col("norm"))).alias("pos", "seg")).where(F.length("seg") >= LEAST_SEGMENT)
     out = None
     for k in range(blocks):
@@ -149,8 +163,9 @@ def resolve_strings(strings: DataFrame, known: DataFrame, institutions: DataFram
 
 def split_affiliations(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(known, unresolved) with ``norm``; strings with two or more institutions are neither."""
-    n = raw.withColumn("norm", normalize_org(F.coalesce("raw_affiliation", F.lit(""))))
-    return n.where("resolved_institution_id is not null"), n.where("n_resolved_institutions = 0")
+    norm = normalize_org(F.coalesce("raw_affiliation", F.lit("")))  # after the filters: each row is normalised once
+    known, open_ = raw.where("resolved_institution_id is not null"), raw.where("n_resolved_institutions = 0")
+    return known.withColumn("norm", norm), open_.withColumn("norm", norm)
 
 
 def holdout_split(known: DataFrame, size: int = 2000, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -160,6 +175,7 @@ def holdout_split(known: DataFrame, size: int = 2000, seed: int = 42) -> tuple[D
     the same for any partitioning.  The running sum is taken over one row per
     work, and only over the first ``size`` works, as every work has a string.
     """
+    known = materialize(known, "known")  # read four times below
     per = known.groupBy("work_id").agg(F.count("*").alias("n")).withColumn("h", F.xxhash64("work_id", F.lit(seed)))
     first = per.orderBy("h", "work_id").limit(size)
     w = Window.orderBy("h", "work_id").rowsBetween(Window.unboundedPreceding, 0)

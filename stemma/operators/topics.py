@@ -10,15 +10,18 @@ import zipfile
 from functools import lru_cache
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 import pyspark
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, PCA, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer, StopWordsRemover
-from pyspark.ml.linalg import DenseVector, Vectors
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import unwrap_udt
 
 # Words that nearly every abstract of the field has and that say nothing about its topic.
 DOMAIN_STOP = (
@@ -50,8 +53,13 @@ def document_text(works: DataFrame, limit: int = 4000) -> DataFrame:
 def grams(text: Column, stop: list[str]) -> Column:
     """Words of two characters or more without stop words, and pairs of neighbours among what remains."""
     words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(\w\w+)"), F.lit(1)), lambda w: ~w.isin(stop))
-    pairs = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", F.get(words, i), x))
-    return F.concat(words, pairs)
+
+    def with_pairs(ws: Column) -> Column:
+        tail = F.slice(ws, 2, F.greatest(F.size(ws) - 1, F.lit(0)))
+        return F.concat(ws, F.transform(tail, lambda x, i: F.concat_ws(" ", F.get(ws, i), x)))
+
+    # bound to a variable, so that the words are found once
+    return F.transform(F.array(words), with_pairs)[0]
 
 
 def tfidf_pipeline(vocabulary: int = 50_000, min_df: int = 3, text_col: str = "text") -> Pipeline:
@@ -76,24 +84,51 @@ def tfidf(docs: DataFrame, vocabulary: int = 50_000, min_df: int = 3) -> DataFra
     return rows.drop("_t", "_w", "_p", "_g", "_c", "_i", "_x")
 
 
+def _partial(rows, z: np.ndarray):
+    """A'(A z) of one partition's rows."""
+    out = None
+    for (x,) in rows:
+        i, v = (x.indices, x.values) if hasattr(x, "indices") else (np.arange(x.size), x.toArray())
+        if out is None:
+            out = np.zeros_like(z)
+        out[i] += v[:, None] * (v @ z[i])[None]
+    return [] if out is None else [out]
+
+
+def singular_vectors(rows: DataFrame, k: int, col: str = "features", rounds: int = 4, seed: int = 42) -> np.ndarray:
+    """The leading right singular vectors (terms x k) by randomised subspace iteration.
+
+    Each round is one pass over the rows that adds up a (terms x k) block per
+    partition in a tree; both are bounded by the vocabulary and ``k``, whatever
+    the number of documents.
+    """
+    first = rows.select(col).first()
+    size = first[0].size
+    wide = min(size, k + 10)
+    z = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, wide)))[0]
+    data = rows.select(col).rdd
+    sc = rows.sparkSession.sparkContext
+    for _ in range(rounds):
+        shared = sc.broadcast(z)
+        y = data.mapPartitions(lambda it, shared=shared: _partial(it, shared.value)).treeReduce(np.add)
+        z, s, _ = np.linalg.svd(y, full_matrices=False)
+    return z[:, : min(k, size)]
+
+
 def latent(rows: DataFrame, id_col: str, components: int = 256, col: str = "features") -> DataFrame:
     """(id, features): projections on the leading right singular vectors (uncentred), to unit length."""
-    from pyspark.mllib.linalg import Vectors as OldVectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    size = rows.select(col).first()[0].size
-    k = max(1, min(components, size - 1))
-    old = rows.select(col).rdd.map(lambda r: OldVectors.fromML(r[0])).persist(StorageLevel.MEMORY_AND_DISK)
-    v = RowMatrix(old).computeSVD(k, computeU=False).V.toArray()
-    old.unpersist()
+    rows = rows.select(id_col, col).persist(StorageLevel.MEMORY_AND_DISK)
+    first = rows.first()
+    if first is None:
+        return rows.withColumnRenamed(col, "features")
+    v = singular_vectors(rows, max(1, min(components, first[1].size - 1)), col)
     shared = rows.sparkSession.sparkContext.broadcast(v)  # vocabulary x components, both bounded
 
-    def project(r) -> tuple:
-        x = r[1]
-        y = shared.value[x.indices].T @ x.values if hasattr(x, "indices") else shared.value.T @ x.toArray()
-        return r[0], DenseVector(y)
+    @F.pandas_udf("array<double>")
+    def project(x: pd.DataFrame) -> pd.Series:
+        return pd.Series([(np.asarray(b) @ shared.value[np.asarray(a)] if a is not None else np.asarray(b) @ shared.value) for a, b in zip(x["indices"], x["values"])])
 
-    out = rows.select(id_col, col).rdd.map(project).toDF([id_col, "_y"])
+    out = rows.select(id_col, array_to_vector(project(unwrap_udt(col))).alias("_y"))
     return Normalizer(inputCol="_y", outputCol="features", p=2.0).transform(out).drop("_y")
 
 
