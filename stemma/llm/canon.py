@@ -36,6 +36,8 @@ SIMILAR = 0.75
 
 # Words that begin the name of a part of an organisation.
 HEADS = frozenset("department dept division faculty school section chair program programme laboratory lab unit group".split())
+# Concepts that name a subject rather than a kind of body.
+SUBJECTS = frozenset("biology genetics biomedicine biophysics".split())
 # Shorter kinds under which a kind is known too.
 SHORT_KINDS = {
     ("institute", "technology"): [("technology",)],
@@ -134,15 +136,19 @@ class Canon:
             seen[t] = seen.get(t, 0) + 1
         exact = {t for t in toks if t in self.proper.words}
         out: list[str] = []
-        masked = False
+        masked = part = False
         for t in toks:
             if t in N.FILLERS:
                 continue
             if masked and t != "|":
                 out.append("?")
                 masked = False
+                part = True
                 continue
-            masked = False
+            if part and N.WORD_OF.get(t) in SUBJECTS:  # "Systems Biology": a part's name goes on
+                out.append("?")
+                continue
+            masked = part = False
             if t == "|":
                 if out and out[-1] != "|":
                     out.append(t)
@@ -201,7 +207,10 @@ class Canon:
         toks = text.split()
         ws = self.words(toks)
         ids = tuple(self.number.get(w, 0) for w in ws)
-        spans = sorted(((n, -(end - n + 1), key) for end, (n, key) in self.auto.iter(ids)), reverse=True) if ids else []
+        hits = [(n, end - n + 1, key) for end, (n, key) in self.auto.iter(ids)] if ids else []
+        # a concept beside a match makes it another kind of body ("Medical University of X" is not the University of X)
+        hits = [h for h in hits if not (set(ws[max(0, h[1] - 1) : h[1]]) | set(ws[h[1] + h[0] : h[1] + h[0] + 1])) & N.CONCEPTS.keys()]
+        spans = sorted(((n, -at, key) for n, at, key in hits), reverse=True)
         if spans:
             hit = self.pick(self.by_key[spans[0][2]], named)
             return (hit, "automaton", 1.0) if hit else (NONE, "country", 0.0)
