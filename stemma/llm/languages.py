@@ -253,7 +253,7 @@ def fitted(works: DataFrame) -> Model | None:
     """The model of a bounded sample of labelled records: SAMPLE per language, taken by hash of the id."""
     known = F.lower(F.trim(F.col("language")))
     code = F.element_at(F.create_map(*[F.lit(x) for c, fs in FORMS.items() for f in fs.split() for x in (f, c)]), F.split(known, "[-_ ]")[0])
-    rows = works.where("abstract is not null and language is not null").select(code.alias("lang"), "work_id", F.col("abstract").substr(1, 4000).alias("t"))
+    rows = works.where("abstract is not null and language is not null").select(code.alias("lang"), "work_id", F.col("abstract").alias("t"))
     w = Window.partitionBy("lang").orderBy(F.xxhash64("work_id"), "work_id")
     rows = rows.where("lang is not null").withColumn("k", F.row_number().over(w)).where(F.col("k") <= SAMPLE)
     return train([(r.lang, r.t) for r in sorted(rows.collect(), key=lambda r: (r.lang, r.k))])
