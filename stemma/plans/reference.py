@@ -425,7 +425,7 @@ def m12_cluster_summary(spark: SparkSession, sf: str) -> DataFrame:
     return s.withColumns({c: F.round(c, 6) for c in ("mean_citation_pct", "early_share", "recent_share", "growth_ratio")})
 
 
-@REG.query(f"with {_EX} select cluster, work_id, rank from ex")
+@REG.query(f"with {_EX} select cluster, work_id, cast(rank as integer) as rank from ex")
 def m7_examples(spark: SparkSession, sf: str) -> DataFrame:
     return _examples(Base(spark, sf)).select("cluster", "work_id", "rank")
 
