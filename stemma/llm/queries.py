@@ -54,7 +54,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 ), q as (
   select work_id, term, n, n_works, round(case when v > 0 then (n - e) / sqrt(v) else 0 end, 6) as residual from s
 )
-select *, row_number() over (partition by work_id order by residual desc, term) as rank from q qualify rank <= 5
+select *, cast(row_number() over (partition by work_id order by residual desc, term) as integer) as rank from q qualify rank <= 5
 """
 )
 def p3_top_terms(spark: SparkSession, sf: str) -> DataFrame:
