@@ -52,6 +52,7 @@ _STOP = re.compile(r"(?<=[.!?…])(?=\s|<|$)|(?<=[。！？])|<\s*/?\s*(?:p|br|d
 _TAG = re.compile(r"<[^>]*>|&[a-zA-Z]+;|&#\d+;")
 _QUOTED = re.compile("“[^”]*”|„[^“”]*[“”]|«[^»]*»|「[^」]*」|『[^』]*』|\"[^\"]*\"|[(（][^)）]*[)）]")
 _GAP = re.compile(r"[\W\d_]+")
+_WIDE = re.compile("[\u2e80-\u9fff]")
 
 
 def normal_label(label: str | None) -> str | None:
@@ -69,42 +70,50 @@ def normal_label(label: str | None) -> str | None:
 def sentences(text: str | None) -> list[str]:
     """The sentences of a text, marked-up parts removed; short stretches belong to the sentence before."""
     out: list[str] = []
+    open_ = False  # whether the last sentence is still too short
     for part in _STOP.split(text or ""):
         part = _TAG.sub(" ", part).strip()
         if not any(map(str.isalpha, part)):
             continue
-        if out and (_short(part) or _short(out[-1])):
+        if out and (open_ or _short(part)):
             out[-1] += " " + part
+            open_ = open_ and _short(out[-1])
         else:
             out.append(part)
+            open_ = _short(part) if len(out) == 1 else False
     return out
 
 
-def _weight(s: str) -> int:
-    """Letters, of which an ideograph counts as three."""
-    return sum(map(str.isalpha, s)) + 2 * sum(1 for c in s if "⺀" <= c <= "鿿")
+def _size(s: str) -> tuple[int, int, int]:
+    """Letters (an ideograph counts as three), different words, ideographs."""
+    words = _GAP.split(s.lower())
+    wide = 0 if s.isascii() else len(_WIDE.findall(s))
+    return sum(map(len, words)) + 2 * wide, len({*words} - {""}), wide
 
 
 def _short(s: str) -> bool:
     """Whether a stretch is too little to be a sentence: few letters, or a few words and no ideographs."""
-    wide = sum(1 for c in s if "⺀" <= c <= "鿿")
-    return _weight(s) < LEAST_LETTERS or (wide < 4 and len(set(_GAP.sub(" ", s).lower().split())) < LEAST_WORDS)
+    plain = {w.lower() for w in s.split() if w.isalpha()}  # each is one word whatever surrounds it
+    if len(plain) >= LEAST_WORDS and sum(map(len, plain)) >= LEAST_LETTERS:
+        return False
+    letters, words, wide = _size(s)
+    return letters < LEAST_LETTERS or (wide < 4 and words < LEAST_WORDS)
 
 
 def unquoted(sentence: str) -> str:
     """The sentence without quotations and brackets, which may be foreign; all of it where little else would remain."""
     rest = _QUOTED.sub(" ", sentence)
-    return rest if _weight(rest) >= LEAST_LETTERS else sentence
+    return rest if rest == sentence or _size(rest)[0] >= LEAST_LETTERS else sentence
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the letter runs of all texts, and where each text's begin."""
+def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per run length, the buckets of the letter runs of all texts, and where each text's begin."""
     plain = [" " + _GAP.sub(" ", t.lower()).strip() + " " for t in texts]
     size = np.fromiter(map(len, plain), np.int64, len(plain))
     code = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     owner = np.repeat(np.arange(len(plain)), size)
     space = code == 32
-    hashes, owners = [], []
+    out = []
     h = code * np.uint64(0x9E3779B97F4A7C15)
     inside = np.ones(len(code), bool)
     for n in (2, 3, 4):
@@ -116,23 +125,22 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         inside = inside[:m] & (owner[n - 1 :] == owner[:m])
         if n > 2:
             inside &= ~space[n - 2 : n - 2 + m]
-        mixed = h ^ (h >> np.uint64(31))
-        hashes.append((mixed[inside] & np.uint64(BUCKETS - 1)).astype(np.int32))
-        owners.append(owner[:m][inside])
-    if not hashes:
-        return np.zeros(0, np.int32), np.zeros(len(plain) + 1, np.int64)
-    b, o = np.concatenate(hashes), np.concatenate(owners)
-    order = np.argsort(o, kind="stable")
-    return b[order], np.searchsorted(o[order], np.arange(len(plain) + 1))
-
-
-def _means(table: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The mean row of ``table`` of each text's buckets."""
-    out = np.zeros((len(at) - 1, table.shape[1]))
-    n = np.diff(at)
-    full = np.flatnonzero(n)
-    if len(full):
-        out[full] = np.add.reduceat(table[b], at[:-1][full], axis=0)
+        at = np.flatnonzero(inside)
+        mixed = h[at]
+        b = ((mixed ^ (mixed >> np.uint64(31))) & np.uint64(BUCKETS - 1)).astype(np.int32)
+        out.append((b, np.searchsorted(owner[at], np.arange(len(plain) + 1))))
+    return out
+
+
+def _means(table: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray]], texts: int) -> np.ndarray:
+    """The mean row of ``table`` over the buckets of each text."""
+    out, n = np.zeros((texts, table.shape[1])), np.zeros(texts, np.int64)
+    for b, at in grams:
+        k = np.diff(at)
+        full = np.flatnonzero(k)
+        if len(full):
+            out[full] += np.add.reduceat(table[b], at[:-1][full], axis=0)
+        n += k
     return out / np.maximum(n, 1)[:, None]
 
 
@@ -144,7 +152,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def _fit(texts: list[str], y: np.ndarray, classes: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
     emb, w = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.1, (DIM, classes))
-    each = [np.unique(features([t])[0], return_counts=True) for t in texts]
+    each = [np.unique(np.concatenate([b for b, _ in features([t])] or [np.zeros(0, np.int32)]), return_counts=True) for t in texts]
     weight = 1 / np.maximum(1, np.bincount(y, minlength=classes))
     weight *= len(y) / classes
     for epoch in range(EPOCHS):
@@ -170,10 +178,10 @@ class Model:
     """Scores per bucket and language, already divided by the temperature."""
 
     def __init__(self, table: np.ndarray, names: list[str]) -> None:
-        self.table, self.names = table, names
+        self.table, self.names = np.ascontiguousarray(table, np.float32), names
 
     def probabilities(self, texts: list[str]) -> np.ndarray:
-        return _softmax(_means(self.table, *features([unquoted(t) for t in texts])))
+        return _softmax(_means(self.table, features([unquoted(t) for t in texts]), len(texts)))
 
 
 def train(rows: list[tuple[str, str]], seed: int = 7) -> Model | None:
@@ -208,7 +216,7 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model | None:
     table = emb @ w
     texts, y = varied(held)
     if len(texts):
-        z = _means(table, *features(texts))
+        z = _means(table, features(texts), len(texts))
         ok = z.argmax(1) == y  # wrong labels say nothing about confidence
         if ok.any():
             z, y = z[ok], y[ok]
