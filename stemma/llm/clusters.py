@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,26 +101,32 @@ def vectors(docs: DataFrame, weights: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(sorted((r.term, float(r.weight)) for r in rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = {t: i for i, (t, _) in enumerate(shared.value)}
-        weight, sign = np.array([w for _, w in shared.value]), signs([t for t, _ in shared.value])
-        for b in batches:
-            keep, out = [], []
-            for k, (tt, ta) in enumerate(zip(b.column("tt").to_pylist(), b.column("ta").to_pylist())):
-                n: dict[int, float] = {}
-                for ts, by in ((tt, TITLE_WEIGHT), (ta, 1)):
-                    for t in ts or ():
-                        if (i := at.get(t)) is not None:
-                            n[i] = n.get(i, 0) + by
-                if n:
-                    idx = np.fromiter(n, np.int64, len(n))
-                    v = (np.log1p(np.fromiter(n.values(), np.float64, len(n))) * weight[idx]) @ sign[idx]
-                    if s := float(np.sqrt(v @ v)):
-                        keep.append(k)
-                        out.append((v / s).astype(np.float32))
-            sel = pa.array(keep, pa.int64())
-            flat = pa.array(np.concatenate(out) if out else np.empty(0, np.float32), pa.float32())
-            v = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * DIM, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(sel) for c in ("work_id", "recorded", "listed")), v], ["work_id", "recorded", "listed", "v"])
+        known = pa.array([t for t, _ in shared.value], pa.string())
+        weight, sign = np.array([w for _, w in shared.value], np.float32), signs([t for t, _ in shared.value]).astype(np.float32)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                b = whole.slice(start, 512)
+                keys, counts = [], []
+                for name, by in (("tt", TITLE_WEIGHT), ("ta", 1)):
+                    lists = b.column(name)
+                    term = pc.index_in(lists.flatten(), value_set=known)
+                    hit = np.flatnonzero(pc.is_valid(term).to_numpy(zero_copy_only=False))
+                    owner = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))[hit]
+                    keys.append(owner * max(1, len(known)) + term.take(pa.array(hit)).to_numpy(zero_copy_only=False).astype(np.int64))
+                    counts.append(np.full(len(hit), by, np.float32))
+                key, back = np.unique(np.concatenate(keys), return_inverse=True)
+                if not len(key):
+                    continue
+                n = np.bincount(back, np.concatenate(counts)).astype(np.float32)
+                owner, term = np.divmod(key, len(known))
+                rows, first = np.unique(owner, return_index=True)
+                v = np.add.reduceat((np.log1p(n) * weight[term])[:, None] * sign[term], first, axis=0)
+                size = np.sqrt((v * v).sum(1))
+                rows, v = rows[size > 0], v[size > 0] / size[size > 0][:, None]
+                sel = pa.array(rows)
+                flat = pa.array(v.astype(np.float32).ravel(), pa.float32())
+                vs = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * DIM, pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(sel) for c in ("work_id", "recorded", "listed")), vs], ["work_id", "recorded", "listed", "v"])
 
     return docs.mapInArrow(run, "work_id string, recorded int, listed boolean, v array<float>")
 
