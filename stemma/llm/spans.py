@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stemma.session import materialize
@@ -218,8 +218,8 @@ class Shared:
     def pairs(self) -> DataFrame:
         """(doc_a, doc_b) of documents: the class pairs written out, and the copies of each class."""
         m = self.members.select("doc_id", "rep")
-        a, b = m.toDF("a", "doc_a"), m.toDF("b", "doc_b")
-        a, b = m.select(F.col("doc_id").alias("a"), F.col("rep").alias("doc_a")), m.select(F.col("doc_id").alias("b"), F.col("rep").alias("doc_b"))
+        a = m.select(F.col("doc_id").alias("a"), F.col("rep").alias("doc_a"))
+        b = m.select(F.col("doc_id").alias("b"), F.col("rep").alias("doc_b"))
         wide = self.class_pairs().join(a, "doc_a").join(b, "doc_b")
         across = wide.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"))
         c = self.members.where("n_copies > 1").select("doc_id", "rep")
@@ -232,8 +232,6 @@ class Shared:
 
         Linear in the shared windows; no pairs are formed.  A text with copies is shared as a whole.
         """
-        from pyspark.sql import Window
-
         pos = self.shared_windows(False).select("doc_id", "pos").distinct()
         w = Window.partitionBy("doc_id").orderBy("pos")
         step = F.least(F.lit(self.least), F.coalesce(F.col("pos") - F.lag("pos").over(w), F.lit(self.least)))
