@@ -55,6 +55,11 @@ COUNTRY_ALIASES = {
     "CD": "democratic republic of the congo|dr congo|congo", "CN": "pr china|p r china|peoples republic of china", "RU": "russia",
     "NL": "the netherlands|holland", "DE": "deutschland", "ES": "espana", "BR": "brasil", "IT": "italia", "TR": "turkiye", "MX": "mexico",
 }
+# Mail addresses and what announces them; where a part of an address ends.
+_MAIL = re.compile(r"(?i)electronic address:?|[^\s,;()]+@[^\s,;()]+")
+_PART = re.compile(r"[,;()\[\]/|:]|\.(?=\s|$)|\s[-–—]\s")
+# A code in capitals; "DE", "LA" and the like before another word are parts of names.
+_CODE = re.compile(r"\b(?!(?:" + "|".join(sorted(w.upper() for w in N.FILLERS if len(w) == 2)) + r")\s+[^\W\d_])[A-Z]{2}\b")
 
 
 class Canon:
@@ -123,10 +128,25 @@ class Canon:
             yield (*proper, "|", *p)
             yield (*p, "|", *proper)
 
-    def countries(self, raw: str, toks: list[str]) -> set[str]:
-        """Country codes named in a value, by name anywhere or by code in capitals at its end."""
-        out = {c for c in re.findall(r"\b[A-Z]{2}\b", N.repair(raw)[-12:]) if c in self.codes}
-        text = " " + " ".join(toks) + " "
+    def countries(self, raw: str, proper: tuple[str, ...]) -> set[str]:
+        """Country codes named in a value, by name anywhere or by code in capitals in a part after the first with a proper word.
+
+        Mail addresses are left out.  A code begins or ends its part of the address, or
+        stands near the end of the value; "DE ULM" and "Department of IT" name no country.
+        """
+        plain = _MAIL.sub(" ", N.repair(raw))
+        whole = _PART.split(plain)
+        parts = [[t for t in re.findall(r"[^\W_]+", x) if not t.isdigit()] for x in whole]
+        at = next((i for i, x in enumerate(parts) if set(proper) & set(self.words(N.tokens(" ".join(x))))), 0)
+        out = {t for t in _CODE.findall(plain.rstrip()[-12:]) if t in self.codes}
+        for x in parts[at:]:
+            if not x or any(t.lower() in HEADS for t in x):
+                continue
+            out |= {x[-1]} & self.codes
+            if len(x) > 1 and x[1].islower():
+                out |= {x[0]} & self.codes
+        out |= {t for t in re.findall(r"\b([A-Z]{2})-?\d", " ; ".join(whole[at:])) if t in self.codes}
+        text = " " + " ".join(N.tokens(plain)) + " "
         return out | {c for n, c in self.names.items() if f" {n} " in text}
 
     def words(self, toks: list[str]) -> list[str]:
@@ -181,11 +201,15 @@ class Canon:
                     out.append("?")
         return out
 
-    def pick(self, ids: list[str], named: set[str]) -> str | None:
-        """One of the entries of one name: the one in the named country, else the largest."""
+    def pick(self, key: tuple, raw: str) -> str | None:
+        """One of the entries of one name: the one in the country the value names, else the largest."""
+        ids = self.by_key[key]
+        if len(ids) == 1:
+            return ids[0]
+        named = self.countries(raw, key[1])
         fit = [i for i in ids if self.country_of[i] in named]
         if not fit and named and all(self.country_of[i] for i in ids):
-            return None if len(ids) > 1 else ids[0]
+            return None
         return max(fit or ids, key=lambda i: (self.size[i], i))
 
     def resolve(self, raw: str | None) -> tuple[str, str, float]:
@@ -200,7 +224,6 @@ class Canon:
 
     def _resolve(self, raw: str) -> tuple[str, str, float]:
         toks = N.tokens(re.sub(r"(?i)electronic address:.*|\S+@\S+", " ", raw))
-        named = self.countries(raw, toks)
         text = " " + " ".join(toks) + " "
         for n in self.long_names:  # their words are no part of an organisation's name
             text = text.replace(f" {n} ", " | ") if f" {n} " in text else text
@@ -212,11 +235,11 @@ class Canon:
         hits = [h for h in hits if not (set(ws[max(0, h[1] - 1) : h[1]]) | set(ws[h[1] + h[0] : h[1] + h[0] + 1])) & N.CONCEPTS.keys()]
         spans = sorted(((n, -at, key) for n, at, key in hits), reverse=True)
         if spans:
-            hit = self.pick(self.by_key[spans[0][2]], named)
+            hit = self.pick(spans[0][2], raw)
             return (hit, "automaton", 1.0) if hit else (NONE, "country", 0.0)
-        return self.similar(ws, named)
+        return self.similar(ws, raw)
 
-    def similar(self, ws: list[str], named: set[str]) -> tuple[str, str, float]:
+    def similar(self, ws: list[str], raw: str) -> tuple[str, str, float]:
         """Token-set similarity with the entries that share a proper word."""
         have = set(ws) - {"|", "?"}
         best: tuple[float, tuple] | None = None
@@ -228,7 +251,7 @@ class Canon:
                 score = 2 * len(mine & set(kind)) / (len(mine) + len(kind))
                 if best is None or score > best[0]:
                     best = (score, (kind, (w,)))
-        if best and best[0] >= SIMILAR and (hit := self.pick(self.by_key[best[1]], named)):
+        if best and best[0] >= SIMILAR and (hit := self.pick(best[1], raw)):
             return hit, "similar", best[0]
         return NONE, "unmatched", best[0] if best else 0.0
 

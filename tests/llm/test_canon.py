@@ -74,3 +74,19 @@ def test_list_size_is_checked(spark, monkeypatch):
     inst = spark.createDataFrame(ENTRIES, "institution_id string, institution_name string, country_code string, n_works long")
     with pytest.raises(ValueError):
         canon.read_list(inst, spark.createDataFrame(COUNTRIES, "country_code string, country_name string"))
+
+
+@pytest.mark.parametrize("raw,want", [
+    ("National Academy of Darville, GB (deceased)", "I7"), ("National Academy of Darville (Darville, GB) (on leave since 2019)", "I7"),
+    ("National Academy of Darville, GB. Electronic address: mimek@gol.example", "I7"), ("Natl Acad Darville, Electronic address: mimek@gol.example, GB, 11111 Darville", "I7"),
+    ("National Academy of Darville, GB, 11111 Darville, Long Street 12, Block 3", "I7"), ("National Academy of Darville, GB-11111 Darville, Long Street 12", "I7"),
+    ("Department of GB, National Academy of Darville, Long Street 12", "I6"), ("NATIONAL ACADEMY DE DARVILLE", "I6"),
+])
+def test_country_code_anywhere_after_the_name(index, raw, want):
+    assert index.resolve(raw)[0] == want
+
+
+def test_particle_is_no_country():
+    c = canon.Canon([("A", "Universidad de Ulmen", "DE", 1), ("B", "Universidad de Ulmen", "US", 9)], [("DE", "Germany"), ("US", "United States")])
+    assert c.resolve("UNIVERSIDAD DE ULMEN")[0] == "B"
+    assert c.resolve("UNIVERSIDAD DE ULMEN, DE (deceased)")[0] == "A"
