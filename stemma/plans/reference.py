@@ -461,9 +461,9 @@ def m5_topic_model(spark: SparkSession, sf: str) -> DataFrame:
     """Words and pairs, tf-idf, latent factors, k-means and a 2-D layout of all titled works."""
     d = Base(spark, sf)
     docs = topics.document_text(d.works("title", "abstract")).select("work_id", "text")
-    rows = topics.latent(topics.tfidf(docs), "work_id", components=64)
+    rows = topics.latent(topics.tfidf(docs), "work_id")
     k = topics.n_clusters(docs.count())
-    out = topics.layout(topics.kmeans(rows, k, starts=2))
+    out = topics.layout(topics.kmeans(rows, k))
     return out.select("work_id", "cluster", "x", "y")
 
 
@@ -471,7 +471,7 @@ def m5_topic_model(spark: SparkSession, sf: str) -> DataFrame:
 def m4_embedding_backend(spark: SparkSession, sf: str) -> DataFrame:
     """The same with precomputed embeddings as features."""
     rows = topics.as_vectors(load(spark, sf, "embeddings", "vec_id", "embedding"))
-    out = topics.layout(topics.kmeans(rows.select("vec_id", "features"), 10, starts=2))
+    out = topics.layout(topics.kmeans(rows.select("vec_id", "features"), 10))
     return out.select("vec_id", "cluster", F.round("distance", 6).alias("distance"), "x", "y")
 
 
