@@ -44,9 +44,10 @@ def stop_words() -> list[str]:
     return sorted({*english, *DOMAIN_STOP})
 
 
-def document_text(works: DataFrame, limit: int = 4000) -> DataFrame:
-    """(work_id, ..., text): title, '. ' and abstract, cut at ``limit`` characters; works without a title are left out."""
-    text = F.substring(F.concat("title", F.lit(". "), F.coalesce("abstract", F.lit(""))), 1, limit)
+def document_text(works: DataFrame, limit: int | None = None) -> DataFrame:
+    """(work_id, ..., text): title, '. ' and abstract, cut at ``limit`` characters if given; works without a title are left out."""
+    text = F.concat("title", F.lit(". "), F.coalesce("abstract", F.lit("")))
+    text = text if limit is None else F.substring(text, 1, limit)
     return works.where("title is not null").withColumn("text", text)
 
 

@@ -443,7 +443,7 @@ _GR = f"""{_W}, {_TP}, tx as (
   from tf join pt using (term)""")
 def m9_cluster_terms(spark: SparkSession, sf: str) -> DataFrame:
     d = Base(spark, sf)
-    docs = topics.document_text(d.works("title", "abstract")).join(d.topics, "work_id")
+    docs = topics.document_text(d.works("title", "abstract"), 4000).join(d.topics, "work_id")  # as its SQL
     return topics.cluster_terms(docs, vocabulary=10_000_000).withColumn("score", F.round("score", 9))
 
 

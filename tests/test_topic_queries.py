@@ -37,3 +37,13 @@ def test_all_factors_and_starts(spark, sf, monkeypatch):
         m.setattr(topics, "latent", lambda rows, *a, **k: rows)
         assert arguments(spark, sf, m, "m5_topic_model", "kmeans")["starts"] == 5
     assert arguments(spark, sf, monkeypatch, "m4_embedding_backend", "kmeans")["starts"] == 5
+
+
+def test_text_is_whole(spark, sf, monkeypatch):
+    works = spark.createDataFrame([("W1", "title", "word " * 2000 + "last"), ("W2", None, "x")], "work_id string, title string, abstract string")
+    assert [r.text.endswith(" last") for r in topics.document_text(works).collect()] == [True]
+    assert [len(r.text) for r in topics.document_text(works, 4000).collect()] == [4000]
+    for name, after in (("m5_topic_model", "tfidf"), ("m10_top_terms", "cluster_terms")):
+        with monkeypatch.context() as m:
+            m.setattr(topics, after, lambda docs: docs)
+            assert arguments(spark, sf, m, name, "document_text")["limit"] is None
