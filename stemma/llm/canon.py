@@ -6,7 +6,7 @@ over the words of the list.  One Aho-Corasick automaton holds, as sequences of
 such words, every canonical name and its aliases (other orders, shortened kinds,
 inverted with a comma); in a value the longest non-overlapping match wins.
 Values without a match go to token-set similarity against the entries that share
-their proper word.  An entry that stands for several countries is chosen by the
+a proper word, and against those without any.  An entry that stands for several countries is chosen by the
 country the value names.  Values that mean no entry are reported as ``none``.
 
 The list is broadcast after a check of its size.  Values are mapped where they
@@ -75,7 +75,8 @@ class Canon:
         self.names |= {a: c for c, al in COUNTRY_ALIASES.items() for a in al.split("|")}
         self.long_names = sorted((n for n in self.names if len(n) > 2), key=len, reverse=True)
         self.by_key: dict[tuple, list[str]] = {}  # (kind, proper) -> ids
-        self.kinds_at: dict[tuple, list[tuple]] = {}  # proper -> kinds
+        self.keys_at: dict[str, list[tuple]] = {}  # proper word -> (kind, proper)
+        self.bodies: dict[str, list[tuple]] = {}  # concept -> (kind, ()) of entries without a proper word
         proper_words: set[str] = set()
         self.initials: set[str] = set()
         short: list[tuple[str, tuple]] = []
@@ -89,12 +90,15 @@ class Canon:
                 elif t != "|" and t not in N.FILLERS:
                     proper.append(t)
             key = (tuple(sorted(set(kind))), tuple(proper))
-            if not proper:
+            if not proper and not kind:
                 continue
             if key not in self.by_key:
-                self.kinds_at.setdefault(key[1], []).append(key[0])
+                for w in set(proper):
+                    self.keys_at.setdefault(w, []).append(key)
+                for c in key[0] if not proper else ():
+                    self.bodies.setdefault(c, []).append(key)
             self.by_key.setdefault(key, []).append(i)
-            if len(kind) > 1:
+            if proper and len(kind) > 1:
                 short.append(("".join(k[0] for k in kind), key))
                 self.initials.add(short[-1][0])
             proper_words |= set(proper)
@@ -106,6 +110,8 @@ class Canon:
         for full in (True, False):  # a canonical kind has precedence over another's short form
             for key in self.by_key:
                 kind, proper = key
+                if not proper:  # concepts alone stand in other names too, so they are left to the similarity
+                    continue
                 for k in [kind] if full else SHORT_KINDS.get(kind, []):
                     for seq in self._orders(tuple(k), proper):
                         given.setdefault(tuple(self.number.setdefault(w, len(self.number) + 1) for w in seq), key)
@@ -116,7 +122,8 @@ class Canon:
             self.auto.add_word(seq, (len(seq), key))
         if given:
             self.auto.make_automaton()
-        self.empty = not given
+        self.sought = bool(given)
+        self.empty = not self.by_key
         self.memo: dict[str, tuple[str, str, float]] = {}
 
     @staticmethod
@@ -230,7 +237,7 @@ class Canon:
         toks = text.split()
         ws = self.words(toks)
         ids = tuple(self.number.get(w, 0) for w in ws)
-        hits = [(n, end - n + 1, key) for end, (n, key) in self.auto.iter(ids)] if ids else []
+        hits = [(n, end - n + 1, key) for end, (n, key) in self.auto.iter(ids)] if ids and self.sought else []
         # a concept beside a match makes it another kind of body ("Medical University of X" is not the University of X)
         hits = [h for h in hits if not (set(ws[max(0, h[1] - 1) : h[1]]) | set(ws[h[1] + h[0] : h[1] + h[0] + 1])) & N.CONCEPTS.keys()]
         spans = sorted(((n, -at, key) for n, at, key in hits), reverse=True)
@@ -240,18 +247,26 @@ class Canon:
         return self.similar(ws, raw)
 
     def similar(self, ws: list[str], raw: str) -> tuple[str, str, float]:
-        """Token-set similarity with the entries that share a proper word."""
+        """Token-set similarity with the entries that share a proper word, or, if they have none, a part without others.
+
+        The score is the likeness of the concepts times the share of the entry's proper words that the value has.
+        """
         have = set(ws) - {"|", "?"}
-        best: tuple[float, tuple] | None = None
-        for w in have:
-            for kind in self.kinds_at.get((w,), ()):
-                mine = {x for x in have if x in N.CONCEPTS}
-                if not mine:
-                    continue
-                score = 2 * len(mine & set(kind)) / (len(mine) + len(kind))
-                if best is None or score > best[0]:
-                    best = (score, (kind, (w,)))
-        if best and best[0] >= SIMILAR and (hit := self.pick(best[1], raw)):
+        mine = {x for x in have if x in N.CONCEPTS}
+        scored: list[tuple[float, int, tuple]] = []
+
+        def score(concepts: set[str], key: tuple, share: float) -> None:
+            scored.append((share * 2 * len(concepts & set(key[0])) / (len(concepts) + len(key[0])), len(key[1]), key))
+
+        if mine:
+            for key in {k for w in have for k in self.keys_at.get(w, ())}:
+                score(mine, key, len(have & set(key[1])) / len(set(key[1])))
+        for part in " ".join(ws).split("|") if self.bodies else ():
+            if (own := set(part.split())) and own <= N.CONCEPTS.keys():
+                for key in {k for c in own for k in self.bodies.get(c, ())}:
+                    score(own, key, 1.0)
+        best = max(scored, default=None)
+        if best and best[0] >= SIMILAR and (hit := self.pick(best[2], raw)):
             return hit, "similar", best[0]
         return NONE, "unmatched", best[0] if best else 0.0
 

@@ -90,3 +90,12 @@ def test_particle_is_no_country():
     c = canon.Canon([("A", "Universidad de Ulmen", "DE", 1), ("B", "Universidad de Ulmen", "US", 9)], [("DE", "Germany"), ("US", "United States")])
     assert c.resolve("UNIVERSIDAD DE ULMEN")[0] == "B"
     assert c.resolve("UNIVERSIDAD DE ULMEN, DE (deceased)")[0] == "A"
+
+
+def test_similarity_reaches_entries_of_several_proper_words_and_of_none():
+    more = [("M1", "Vale Snark State University", "GB", 1), ("M2", "National Institute of Genetics", "GB", 1), ("M3", "Vale University", "GB", 1)]
+    c = canon.Canon(more, COUNTRIES)
+    assert c.resolve("State University, Snark, Vale")[:2] == ("M1", "similar")
+    assert c.resolve("Natl. Inst. of Genet., London")[:2] == ("M2", "similar")
+    assert c.resolve("University of Snark")[0] == "none" and c.resolve("Institute of Biology")[0] == "none"
+    assert canon.Canon(more[1:2], COUNTRIES).resolve("Nat. Inst. of Genetics, London")[0] == "M2"
