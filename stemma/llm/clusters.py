@@ -4,8 +4,9 @@ A record's words and word pairs (title counted ``TITLE_WEIGHT`` times) are weigh
 unevenly a term spreads over the recorded clusters (its divergence from their
 base rates, squared; inverse document frequency where nothing is recorded), and
 hashed to ``DIM`` signs each, which gives a unit vector.  Every partition builds
-a tree of cluster features (count, linear sum, vote counts) over its vectors;
-the leaves are merged by the same insertion in rounds until few remain, and
+a single level of cluster features (leaves with count, linear sum, vote counts)
+over its vectors, without inner nodes: each vector is compared with all leaves,
+of which there are at most ``LEAVES``.  The leaves are merged by the same insertion in rounds until few remain, and
 agglomerated by Ward's criterion.  Each group is named by the votes of its
 members' recorded clusters; then one pass assigns every record to the nearest
 centroid, and the members nearest to each centroid describe it.
@@ -132,7 +133,7 @@ def vectors(docs: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 class Tree:
-    """Cluster features: inner nodes over leaves, each with count, linear sum and votes per recorded cluster."""
+    """Cluster features in a single level of leaves (no inner nodes), each with count, linear sum and votes per recorded cluster."""
 
     def __init__(self, reach: float = REACH, leaves: int = LEAVES) -> None:
         self.reach, self.most = reach, leaves
