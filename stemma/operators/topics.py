@@ -6,13 +6,8 @@ cluster's text is ever concatenated, so word pairs stay within one document.
 
 from __future__ import annotations
 
-import zipfile
-from functools import lru_cache
-from pathlib import Path
-
 import numpy as np
 import pandas as pd
-import pyspark
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
@@ -29,19 +24,23 @@ DOMAIN_STOP = (
     "proposed performance network networks neural artificial intelligence algorithm algorithms high different paper "
     "present show shows however also large important provide novel significant accuracy"
 ).split()
+# Spark's English stop words (held here, so that no session and no jar is needed to name them).
+ENGLISH_STOP = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them "
+    "their theirs themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a "
+    "an the and but if or because as until while of at by for with about against between into through during before after above below to from up "
+    "down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor "
+    "not only own same so than too very s t can will just don should now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd they'd "
+    "i'm you're he's she's it's we're they're i've we've you've they've isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't "
+    "won't wouldn't shan't shouldn't mustn't can't couldn't cannot could here's how's let's ought that's there's what's when's where's who's "
+    "why's would"
+).split()
 WORD = r"(?U)\b\w\w+\b"
 
 
-@lru_cache
 def stop_words() -> list[str]:
-    """Spark's English stop words, read from its library so that no session is needed, and those of the field."""
-    jars = sorted((Path(pyspark.__file__).parent / "jars").glob("spark-mllib_*.jar"))
-    if jars:
-        with zipfile.ZipFile(jars[0]) as z:
-            english = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split()
-    else:
-        english = StopWordsRemover.loadDefaultStopWords("english")
-    return sorted({*english, *DOMAIN_STOP})
+    """The English stop words and those of the field."""
+    return sorted({*ENGLISH_STOP, *DOMAIN_STOP})
 
 
 def document_text(works: DataFrame, limit: int | None = None) -> DataFrame:
