@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
+from collections.abc import Callable
 
 # Words and abbreviations of organisation names in several languages, by the concept they stand for.
 CONCEPTS: dict[str, str] = {
@@ -103,7 +103,29 @@ def tokens(s: str) -> list[str]:
     return out
 
 
-@lru_cache(maxsize=1 << 18)
+class Memo:
+    """A function that remembers its results, and forgets all of them when they are ``most``.
+
+    Unlike the library's cache it travels to workers with its function's code, without what it remembers.
+    """
+
+    def __init__(self, fn: Callable, most: int = 1 << 17) -> None:
+        self.fn, self.most, self.seen = fn, most, {}
+        self.__doc__, self.__name__ = fn.__doc__, fn.__name__
+
+    def __call__(self, *args: object) -> object:
+        got = self.seen.get(args)
+        if got is None:
+            if len(self.seen) >= self.most:
+                self.seen.clear()
+            got = self.seen[args] = self.fn(*args)
+        return got
+
+    def __getstate__(self) -> dict:
+        return {"fn": self.fn, "most": self.most, "seen": {}, "__doc__": self.__doc__, "__name__": self.__name__}
+
+
+@Memo
 def distance(a: str, b: str, most: int = 2) -> int:
     """Optimal string alignment distance (a swap of neighbours is one edit); ``most + 1`` when greater."""
     if a == b:
