@@ -5,21 +5,29 @@ letters, word edges included), followed by a linear softmax; both are trained by
 stochastic gradient descent in numpy on a bounded sample of labelled records
 (``SAMPLE`` per language), twice: sentences that the first model contradicts are
 left out of the second, as labels are wrong at times and texts change language.
-The softmax is calibrated by a temperature on held-out sentences; sentences
-below ``REJECT`` have no language of their own and join their neighbours'.
+At most ``SENTENCES`` sentences are fitted on; a sixth of the sample is held out.
+The softmax is calibrated on all held-out sentences: the temperature is the one
+of least negative log-likelihood, and below the bar of rejection held-out
+sentences are right at a rate of less than ``LEAST_ACCURACY`` (by isotonic
+regression of right on confidence); where none are, the bar is chance.  ``Calibration`` reports both, the
+calibration error, and the risk and coverage at the bar.  A sentence below the
+bar has no language of its own and joins its neighbours'; a text that has none
+above it is judged as a whole, and is ``und`` if that is below the bar too.
 As everything after the embedding is linear, what is broadcast is one table of
 ``BUCKETS`` rows with a score per language.
 
 A segment is a maximal run of sentences in one language.  Defined results: null,
 blank and letterless texts have no segments; repeated deliveries count once (the
 latest); with no labelled records at all nothing can be told apart and no rows
-come out.
+come out.  A rejected text has one segment, ``und``, with the confidence of the
+likeliest language, and is no case of ``found``, as nothing is known against its label.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +48,13 @@ MISSING = ("", "und", "unknown", "none", "null", "n/a", "mul", "zxx")
 LANGUAGES = tuple(sorted(FORMS))
 #: Labelled records per language that the model is fitted on.
 SAMPLE = 300
+#: Sentences that each of the two fits sees at most.
 SENTENCES = 6000
 BUCKETS, DIM = 1 << 15, 16
 EPOCHS, RATE, BATCH = 4, 2.0, 32
-#: Confidence below which a sentence is rejected.
-REJECT = 0.6
+#: Rate of right decisions among held-out sentences of like confidence below which a sentence is rejected.
+LEAST_ACCURACY = 0.5
+UNDECIDED = "und"
 #: Letters, and different words, below which a stretch between stops is part of the sentence before it.
 LEAST_LETTERS, LEAST_WORDS = 12, 4
 
@@ -174,11 +184,56 @@ def _fit(texts: list[str], y: np.ndarray, classes: int, seed: int = 7) -> tuple[
     return emb, w
 
 
+class Calibration(NamedTuple):
+    """Measured on all held-out sentences, wrongly labelled ones too."""
+
+    temperature: float = 1.0
+    bar: float = 0.5
+    n_held: int = 0
+    #: Mean distance of confidence and rate of right ones over ten bins of confidence.
+    error: float = 0.0
+    #: Share of wrong ones among those at the bar or above, and their share of all.
+    risk: float = 0.0
+    coverage: float = 1.0
+
+
+def isotonic(y: np.ndarray) -> np.ndarray:
+    """The non-decreasing sequence nearest to ``y`` (pool adjacent violators)."""
+    sums: list[list[float]] = []
+    for v in y:
+        sums.append([float(v), 1.0])
+        while len(sums) > 1 and sums[-2][0] * sums[-1][1] >= sums[-1][0] * sums[-2][1]:
+            s, n = sums.pop()
+            sums[-1][0] += s
+            sums[-1][1] += n
+    return np.concatenate([np.full(int(n), s / n) for s, n in sums]) if sums else np.zeros(0)
+
+
+def calibrate(z: np.ndarray, y: np.ndarray) -> Calibration:
+    """Temperature and bar of held-out scores ``z`` with labels ``y``."""
+    if not len(y):
+        return Calibration()
+    rows = np.arange(len(y))
+    loss = lambda t: -np.log(np.maximum(1e-12, _softmax(z / t)[rows, y])).mean()
+    t = float(min(np.geomspace(0.1, 4.0, 60), key=loss))
+    p = _softmax(z / t)
+    conf, right = p.max(1), p.argmax(1) == y
+    order = np.argsort(conf, kind="stable")
+    rate = isotonic(right[order].astype(float))
+    bad = int((rate < LEAST_ACCURACY).sum())  # the least sure ones
+    sure = np.concatenate([[1 / z.shape[1]], conf[order], [1.0]])
+    bar = float((sure[bad] + sure[bad + 1]) / 2) if bad else float(sure[0])  # nothing measured asks for more than chance
+    bins = np.minimum(9, (conf * 10).astype(int))
+    gaps = [(bins == b).sum() * abs(conf[bins == b].mean() - right[bins == b].mean()) for b in range(10) if (bins == b).any()]
+    over = conf >= bar
+    return Calibration(t, bar, len(y), float(sum(gaps) / len(y)), float((~right[over]).mean()) if over.any() else 0.0, float(over.mean()))
+
+
 class Model:
-    """Scores per bucket and language, already divided by the temperature."""
+    """Scores per bucket and language, already divided by the temperature, and what was measured of them."""
 
-    def __init__(self, table: np.ndarray, names: list[str]) -> None:
-        self.table, self.names = np.ascontiguousarray(table, np.float32), names
+    def __init__(self, table: np.ndarray, names: list[str], calibration: Calibration = Calibration()) -> None:
+        self.table, self.names, self.calibration = np.ascontiguousarray(table, np.float32), names, calibration
 
     def probabilities(self, texts: list[str]) -> np.ndarray:
         return _softmax(_means(self.table, features([unquoted(t) for t in texts]), len(texts)))
@@ -215,14 +270,8 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model | None:
         emb, w = _fit(texts, y, len(names), seed + 1)
     table = emb @ w
     texts, y = varied(held)
-    if len(texts):
-        z = _means(table, features(texts), len(texts))
-        ok = z.argmax(1) == y  # wrong labels say nothing about confidence
-        if ok.any():
-            z, y = z[ok], y[ok]
-            loss = lambda t: -np.log(np.maximum(1e-12, _softmax(z / t)[np.arange(len(y)), y])).mean() + 0.02 / t
-            table = table / min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0), key=loss)
-    return Model(table, names)
+    found = calibrate(_means(table, features([unquoted(t) for t in texts]), len(texts)), y)
+    return Model(table / found.temperature, names, found)
 
 
 def segments(model: Model, texts: list[str | None]) -> list[list[tuple[str, float, str]]]:
@@ -235,15 +284,15 @@ def segments(model: Model, texts: list[str | None]) -> list[list[tuple[str, floa
     for c in cut:
         own = p[k : k + len(c)]
         k += len(c)
-        out.append(_runs(model.names, c, own) if c else [])
+        out.append(_runs(model.names, c, own, model.calibration.bar) if c else [])
     return out
 
 
-def _runs(names: list[str], parts: list[str], p: np.ndarray) -> list[tuple[str, float, str]]:
-    best, sure = p.argmax(1), p.max(1) >= REJECT
+def _runs(names: list[str], parts: list[str], p: np.ndarray, bar: float) -> list[tuple[str, float, str]]:
+    best, sure = p.argmax(1), p.max(1) >= bar
     if not sure.any():
         mean = p.mean(0)
-        return [(names[int(mean.argmax())], float(mean.max()), " ".join(parts))]
+        return [(names[int(mean.argmax())] if mean.max() >= bar else UNDECIDED, float(mean.max()), " ".join(parts))]
     label = [int(b) if s else -1 for b, s in zip(best, sure)]
     for i in range(len(label)):  # rejected sentences follow the one before, or the first sure one
         if label[i] < 0:
@@ -270,12 +319,14 @@ def fitted(works: DataFrame) -> Model | None:
 def segmented(works: DataFrame) -> DataFrame:
     """(work_id, label, n_segments, segment, language, confidence, text) of all abstracts."""
     w = materialize(latest_works(works.select("work_id", "language", "abstract", "loaded_at")).where("abstract is not null"), "abstracts")
-    shared = works.sparkSession.sparkContext.broadcast(fitted(w))
+    fit = fitted(w)
+    # plain values: a class of this package could not be read back where the package isn't installed
+    shared = works.sparkSession.sparkContext.broadcast(fit and (fit.table, fit.names, tuple(fit.calibration)))
     names = ["work_id", "label", "n_segments", "segment", "language", "confidence", "text"]
     types = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared.value and Model(*shared.value[:2], Calibration(*shared.value[2]))
         for whole in batches:
             for i in range(0, whole.num_rows if model else 0, 256):
                 b = whole.slice(i, 256)
@@ -294,4 +345,4 @@ def found(works: DataFrame) -> DataFrame:
     """(work_id, segment, language) of the records that are mixed, unlabelled or labelled wrong."""
     s = segmented(works)
     case = (F.col("n_segments") > 1) | F.col("label").isNull() | (F.col("label") != F.col("language"))
-    return s.where(case).select("work_id", "segment", "language")
+    return s.where(case & (F.col("language") != UNDECIDED)).select("work_id", "segment", "language")

@@ -35,7 +35,7 @@ def test_held_out_accuracy(model):
     held = [(lang, abstract(r, lang, 1)) for lang in SAY for _ in range(60)]
     p = model.probabilities([t for _, t in held])
     assert sum(model.names[i] == lang for i, (lang, _) in zip(p.argmax(1), held)) / len(held) > 0.98
-    assert (p.max(1) >= L.REJECT).mean() > 0.95
+    assert (p.max(1) >= model.calibration.bar).mean() > 0.95
 
 
 def test_segments(model):
@@ -64,3 +64,23 @@ def test_table(spark, rows):
     assert {tuple(x) for x in L.found(df).collect()} == {("X1", 0, "es"), ("X2", 0, "en"), ("X6", 0, "en"), ("X6", 1, "de")}
     assert L.found(df.limit(0)).count() == 0
     assert L.train([]) is None and L.train([("en", "Only one language here.")]).names == ["en"]
+
+
+def test_calibration():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    y = r.integers(0, 4, 4000)
+    z = r.normal(0, 1, (4000, 4))
+    z[np.arange(4000), y] += 2.0  # the softmax of 2 z is what the labels were drawn from, nearly
+    c = L.calibrate(z * 5, y)  # five times too sure
+    assert c.n_held == 4000 and 1.5 < c.temperature < 4.0 and c.error < 0.05
+    assert 0 < c.bar < 1 and c.risk < 0.3 and 0 < c.coverage < 1
+    assert L.isotonic(np.array([1.0, 0, 1, 0, 1, 1])).tolist() == [0.5, 0.5, 0.5, 0.5, 1.0, 1.0]
+    assert L.calibrate(np.zeros((0, 4)), np.zeros(0, int)) == L.Calibration()
+
+
+def test_rejected_text(model):
+    """A text below the bar has one segment without a language, and is no case."""
+    sure = L.Model(model.table, model.names, L.Calibration(bar=1.1))
+    assert [s[0] for s in L.segments(sure, ["The authors compared earlier claims about genes."])[0]] == [L.UNDECIDED]
