@@ -28,8 +28,8 @@ with a as (
 """
 
 
-def _scores(spark: SparkSession, sf: str) -> DataFrame:
-    return terms.scored(
+def _scores(spark: SparkSession, sf: str) -> terms.Scores:
+    return terms.Scores(
         load(spark, sf, "works", "work_id", "abstract", "loaded_at"), load(spark, sf, "keywords", "work_id", "keyword")
     )
 
@@ -42,7 +42,7 @@ where regexp_full_match(term, '[a-z]{6,}') and n >= 3 and n_works <= 5
 """
 )
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return terms.repeated_rare(_scores(spark, sf))
+    return _scores(spark, sf).repeated_rare()
 
 
 @REG.query(
@@ -59,7 +59,7 @@ select *, cast(row_number() over (partition by work_id order by residual desc, t
 )
 def p3_top_terms(spark: SparkSession, sf: str) -> DataFrame:
     """The five most characteristic words of every work."""
-    return terms.top_terms(_scores(spark, sf), 5)
+    return terms.top_terms(_scores(spark, sf).rows, 5)
 
 
 @REG.query()
