@@ -203,11 +203,21 @@ class Shared:
         rows = self.texts(at).join(at, "doc_id").select("doc_id", "text", "at")
         g = materialize(rows.mapInArrow(cut, "g bigint, doc_id bigint, pos bigint"), "windows")
         met = g.groupBy("g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-        return g.join(met.select("g"), "g", "left_semi")
+        return materialize(g.join(met.select("g"), "g", "left_semi"), "shared")
 
     def hot_pairs(self) -> DataFrame:
-        """(doc_a, doc_b) of representatives that share a whole window around a hot anchor."""
-        g = materialize(self.shared_windows(True).select("g", "doc_id").distinct(), "hot")
+        """(doc_a, doc_b) of representatives that share a whole window around a hot anchor.
+
+        Windows that the same texts hold (a notice has one at each of its positions) are paired
+        once: of all windows with equal owners, by number and two hashes of 64 bits, one is kept.
+        """
+        every = self.shared_windows(True).select("g", "doc_id").distinct()
+        owners = every.groupBy("g").agg(
+            F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"),
+            F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"),
+        )
+        kept = owners.groupBy("n", "x", "y", "lo", "hi").agg(F.min("g").alias("g")).select("g")
+        g = every.join(kept, "g", "left_semi")
         a, b = g.withColumnRenamed("doc_id", "doc_a"), g.withColumnRenamed("doc_id", "doc_b")
         return a.join(b, "g").where("doc_a < doc_b").select("doc_a", "doc_b").distinct()
 

@@ -31,6 +31,31 @@ def test_leaks_in_blocks(spark, monkeypatch):
     assert {tuple(r) for r in leaks.found(docs, items).collect()} == {(i, i) for i in range(12)}
 
 
+def test_leaks_against_brute_force():
+    """Runs of a small vocabulary, where words recur and runs overlap."""
+    r = random.Random(5)
+    for n in (1, 2, 5, 12):
+        items = [(i, " ".join(r.choices("ab", k=r.randint(1, 40)))) for i in range(25)] + [(90, "a " * 30), (91, "a " * 30)]
+        m = leaks.Matcher(items, n)
+        for _ in range(40):
+            text = " ".join(r.choices("abc", k=r.randint(0, 60)))
+            w = leaks.words(text)
+            want = {}
+            for i, t in items:
+                own = leaks.words(t)
+                runs = {tuple(own[k : k + n]) for k in range(len(own) - n + 1)}
+                spans_ = []
+                for k in range(len(w) - n + 1):
+                    if tuple(w[k : k + n]) in runs:
+                        if spans_ and k <= spans_[-1][1] + 1:
+                            spans_[-1] = (spans_[-1][0], k + n - 1)
+                        else:
+                            spans_.append((k, k + n - 1))
+                if spans_:
+                    want[i] = spans_
+            assert m.runs(text) == want
+
+
 def corpus(seed=3):
     r = random.Random(seed)
     say = lambda n: "".join(r.choices("abcdefgh é漢\n", k=n))
@@ -70,6 +95,17 @@ def test_spans_against_brute_force(spark, hot):
     assert {r.doc_id: r.shared_chars for r in s.coverage().collect()} == cover
 
 
+def test_notice_pairs_once_per_owner_set(spark):
+    """A notice longer than the least length gives one window, not one for each of its positions, to the pairing."""
+    docs = corpus(7)
+    r = random.Random(2)
+    notice = "".join(r.choices("abcdefgh", k=180))
+    docs |= {1000 + i: notice + "".join(r.choices("xyz", k=90)) for i in range(40)}
+    df = spark.createDataFrame([(d, t, 0) for d, t in docs.items()], DOCS)
+    s = spans.Shared(df, least=100, k=64, hot=4)
+    assert {tuple(x) for x in s.pairs().collect()} == brute(docs, 100)[0]
+
+
 def test_repeats_are_maximal(spark):
     docs = corpus()
     df = spark.createDataFrame([(d, docs[d], 0) for d in (100, 101, 200, 201)], DOCS)
