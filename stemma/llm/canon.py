@@ -277,7 +277,9 @@ def read_list(institutions: DataFrame, country_regions: DataFrame) -> tuple[list
     rows = rows.where("institution_id is not null").dropDuplicates(["institution_id"]).limit(MAX_ENTRIES + 1).collect()
     if len(rows) > MAX_ENTRIES:
         raise ValueError(f"the reference list has more than {MAX_ENTRIES} entries")
-    codes = country_regions.where("country_code is not null").select("country_code", "country_name").limit(10_000).collect()
+    codes = country_regions.where("country_code is not null").select("country_code", "country_name").distinct().limit(MAX_ENTRIES + 1).collect()
+    if len(codes) > MAX_ENTRIES:
+        raise ValueError(f"the list of countries has more than {MAX_ENTRIES} rows")
     return [tuple(r) for r in sorted(rows)], [tuple(r) for r in codes]
 
 
