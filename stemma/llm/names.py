@@ -61,7 +61,7 @@ LEGAL = frozenset("inc ltd llc gmbh sa co corp corporation limited plc ag bv srl
 WORD_OF = {w: c for c, ws in CONCEPTS.items() for w in ws.split()}
 
 _SEP = re.compile(r"[,;()\[\]/|:]|\s[-–—]\s|\s-$|^-\s")
-_TOKEN = re.compile(r"[a-z0-9]+|\|")
+_TOKEN = re.compile(r"[^\W_]+|\|")  # letters and digits of any script
 
 
 _DAMAGED = re.compile("[\u00c2-\u00f4](?:[\u0080-\u00bf]|[\u20ac\u201a\u0192\u201e\u2026\u2020\u2021\u02c6\u2030\u0160\u2039\u0152\u017d\u2018\u2019\u201c\u201d\u2022\u2013\u2014\u02dc\u2122\u0161\u203a\u0153\u017e\u0178]){1,3}")
