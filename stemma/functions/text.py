@@ -93,9 +93,20 @@ def search_filter(text: Column, groups: list[list[str]]) -> Column:
     return reduce(lambda a, g: a & mentions_any(text, g), groups[1:], mentions_any(text, groups[0]))
 
 
-def search_expression(groups: list[list[str]]) -> str:
-    """The same filter as a search string for a remote source."""
-    return " AND ".join("(" + " OR ".join(f'"{t}"' for t in g) + ")" for g in groups)
+def search_expression(groups: list[list[str]], types: list[str] | None = None, years: tuple[int, int] | int | None = None) -> str:
+    """The filter string of a remote source: text groups, and if given the year or range of years and the work types."""
+    quoted = [" OR ".join(f'"{term}"' for term in group) for group in groups]
+    out = "title_and_abstract.search:" + " AND ".join(f"({q})" for q in quoted)
+    if years is not None:
+        out += f",publication_year:{years}" if isinstance(years, int) else f",publication_year:{years[0]}-{years[1]}"
+    if types:
+        out += f",type:{'|'.join(types)}"
+    return out
+
+
+def corpus_filter(text: Column, groups: list[list[str]], kind: Column, types: list[str], year: Column, years: tuple[int, int]) -> Column:
+    """The same filter as a predicate on a table's columns."""
+    return search_filter(text, groups) & kind.isin(types) & year.between(*years)
 
 
 def clip(c: Column, n: int) -> Column:

@@ -3,25 +3,31 @@
 Every distinct string is resolved once.  The alias table is a join, as it grows
 with the corpus.  Fuzzy matching scores comma segments against institution
 names by the token-sort ratio, 200 LCS / (lengths), with two lossless bounds
-before the exact score: the lengths, and the letters in common.  The names are a
-registry of bounded size, read in blocks of ``NAME_BLOCK`` and broadcast one
-block at a time; the best hit over all blocks wins.
+before the exact score: the lengths, and the letters in common.  Both sides stay
+distributed: the distinct segments are dealt into groups of about ``SEGMENTS``,
+the names into blocks of about ``NAME_BLOCK``, and each group meets each block in
+one task (a co-group), where the bounds are array operations and only what
+passes them is scored.  So the memory of a task is bounded whatever the number
+of strings or names, nothing reaches the driver, and only hits are given out.
+(A join on q-grams or pieces of names was considered: at a score of 90 two names
+of 40 letters may differ in 8 edits, so any exact key is a run of two or three
+letters, and most names share several of those.)
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stemma.functions.text import normalize_org, org_segments
+from stemma.operators.sampling import seeded_order
 from stemma.session import materialize
 
-#: Institution names that are broadcast at a time.
+#: Institution names, and segments of strings, that one task holds at a time.
 NAME_BLOCK = 200_000
+SEGMENTS = 20_000
 LEAST_SEGMENT = 6
 
 
@@ -109,37 +115,30 @@ def fuzzy_hits(norms: DataFrame, institutions: DataFrame, threshold: float = 90.
     ``institutions`` has institution_id, norm_name, n_works; ties between names
     go to more works, then the lesser id; ties between segments to the first.
     """
-    spark = norms.sparkSession
-    names = institutions.where("institution_id is not null and norm_name <> ''")
-    blocks = max(1, -(-names.count() // NAME_BLOCK))
-    # the scoring is work on few bytes: spread by number of rows, which AQE does not undo
-    norms = norms.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = int(norms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = institutions.where("institution_id is not null and norm_name <> ''").select("institution_id", "norm_name", F.coalesce("n_works", F.lit(0)).alias("n_works"))
+    names = materialize(names, "names")
     segs = norms.select("norm", F.posexplode(org_segments(F.col("norm"))).alias("pos", "seg")).where(F.length("seg") >= LEAST_SEGMENT)
-    out = None
-    for k in range(blocks):
-        part = names.where(F.pmod(F.xxhash64("institution_id"), F.lit(blocks)) == k)
-        rows = part.orderBy(F.desc("n_works"), "institution_id").select("institution_id", "norm_name", "n_works").collect()
-        shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in rows])
-        works = {r[0]: r[2] for r in rows}
-        order = spark.sparkContext.broadcast(works)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, order=order) -> Iterator[pa.RecordBatch]:
-            index, memo = NameIndex(shared.value, threshold), {}
-            for b in batches:
-                got = []
-                for norm, pos, seg in zip(*(b.column(i).to_pylist() for i in range(3))):
-                    if seg not in memo:
-                        memo[seg] = index.best(seg)
-                    if hit := memo[seg]:
-                        got.append((norm, hit[2], hit[0], pos, order.value[hit[2]] or 0))
-                cols = list(zip(*got)) if got else [()] * 5
-                types = (pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["norm", "institution_id", "score", "pos", "n_works"])
-
-        hits = segs.mapInArrow(run, "norm string, institution_id string, score double, pos int, n_works bigint")
-        out = hits if out is None else out.unionAll(hits)
-    w = Window.partitionBy("norm").orderBy(F.desc("score"), "pos", F.desc("n_works"), "institution_id")
-    return out.withColumn("k", F.row_number().over(w)).where("k = 1").select("norm", "institution_id", "score")
+    segs = materialize(segs, "segments")
+    blocks = max(1, -(-names.count() // NAME_BLOCK))
+    deals = max(tasks, -(-segs.count() // SEGMENTS))
+    asked = segs.select("seg").distinct().select("seg", F.pmod(F.xxhash64("seg"), F.lit(deals)).alias("deal"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    dealt = names.withColumn("block", F.pmod(F.xxhash64("institution_id"), F.lit(blocks)).cast("int")).withColumn("deal", F.expr(f"explode(sequence(0L, {deals - 1}L))"))
+
+    def score(segments: pa.Table, block: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(block.column(c).to_pylist() for c in ("n_works", "institution_id", "norm_name"))), key=lambda r: (-r[0], r[1]))
+        index = NameIndex([(i, name) for _, i, name in rows], threshold)
+        got = [(seg, hit[2], hit[0], rows[hit[1]][0]) for seg in segments.column("seg").to_pylist() if (hit := index.best(seg))]
+        cols = list(zip(*got)) if got else [()] * 4
+        types = (pa.string(), pa.string(), pa.float64(), pa.int64())
+        return pa.table([pa.array(c, t) for c, t in zip(cols, types)], names=["seg", "institution_id", "score", "n_works"])
+
+    # a partitioning by number is not undone by adaptive execution, which would see few bytes and miss the work
+    meet = [x.repartition(deals * blocks, "deal", "block").groupBy("deal", "block") for x in (asked, dealt)]
+    hits = meet[0].cogroup(meet[1]).applyInArrow(score, "seg string, institution_id string, score double, n_works bigint")
+    order = F.struct((-F.col("score")).alias("s"), "pos", (-F.col("n_works")).alias("w"), "institution_id")
+    best = segs.join(hits, "seg").groupBy("norm").agg(F.min(order).alias("b"))
+    return best.select("norm", F.col("b.institution_id").alias("institution_id"), (-F.col("b.s")).alias("score"))
 
 
 def resolve_strings(strings: DataFrame, known: DataFrame, institutions: DataFrame, threshold: float = 90.0, match_empty: bool = False) -> DataFrame:
@@ -176,7 +175,7 @@ def holdout_split(known: DataFrame, size: int = 2000, seed: int = 42) -> tuple[D
     work, and only over the first ``size`` works, as every work has a string.
     """
     known = materialize(known, "known")  # read four times below
-    per = known.groupBy("work_id").agg(F.count("*").alias("n")).withColumn("h", F.xxhash64("work_id", F.lit(seed)))
+    per = known.groupBy("work_id").agg(F.count("*").alias("n")).withColumn("h", seeded_order("work_id", seed))
     first = per.orderBy("h", "work_id").limit(size)
     w = Window.orderBy("h", "work_id").rowsBetween(Window.unboundedPreceding, 0)
     chosen = first.withColumn("c", F.sum("n").over(w)).where(F.col("c") <= size).select("work_id")

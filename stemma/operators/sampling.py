@@ -6,10 +6,15 @@ the same sample for any partitioning, and ``limit`` keeps it a distributed top-k
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def seeded_order(id_col: str, seed: int) -> Column:
+    """The sort key of a seeded order: a hash of id and seed that any SQL engine has."""
+    return F.md5(F.concat_ws("-", F.col(id_col).cast("string"), F.lit(str(seed))))
+
+
 def quotas(counts: DataFrame, cap: int | None, limit: int = 10_000) -> DataFrame:
     """(year, available, quota) of (year, available): shares of ``cap`` in proportion, at least 1, at most ``limit``.
 
@@ -35,10 +40,17 @@ def with_weights(works: DataFrame, weights: DataFrame) -> DataFrame:
 
 def seeded_sample(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
     """n rows in the order of a seeded hash of the id."""
-    return df.orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(n)
+    return df.orderBy(seeded_order(id_col, seed), id_col).limit(n)
 
 
 def seeded_sample_per(df: DataFrame, group: str, id_col: str, quota: DataFrame, seed: int = 42) -> DataFrame:
     """The first ``quota`` rows of each group in seeded order."""
-    w = Window.partitionBy(group).orderBy(F.xxhash64(id_col, F.lit(seed)), id_col)
+    w = Window.partitionBy(group).orderBy(seeded_order(id_col, seed), id_col)
     return df.withColumn("_k", F.row_number().over(w)).join(quota.select(group, "quota"), group).where("_k <= quota").drop("_k", "quota")
+
+
+def first_of_sample(df: DataFrame, id_col: str, n: int, first: int, seed: int = 42) -> DataFrame:
+    """The sample with ``gold``: whether a row is among the first ``first`` in seeded order, which people label."""
+    rows = seeded_sample(df, id_col, n, seed)  # n rows, so one window over all of them is small
+    w = Window.orderBy(seeded_order(id_col, seed), id_col)
+    return rows.withColumn("gold", F.row_number().over(w) <= first)

@@ -35,7 +35,8 @@ ENGLISH_STOP = (
     "won't wouldn't shan't shouldn't mustn't can't couldn't cannot could here's how's let's ought that's there's what's when's where's who's "
     "why's would"
 ).split()
-WORD = r"(?U)\b\w\w+\b"
+#: Letters and digits of any script, two or more; the one pattern of all text features.
+WORD = r"[\p{L}\p{N}_]{2,}"
 
 
 def stop_words() -> list[str]:
@@ -52,7 +53,7 @@ def document_text(works: DataFrame, limit: int | None = None) -> DataFrame:
 
 def grams(text: Column, stop: list[str]) -> Column:
     """Words of two characters or more without stop words, and pairs of neighbours among what remains."""
-    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(\w\w+)"), F.lit(1)), lambda w: ~w.isin(stop))
+    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1)), lambda w: ~w.isin(stop))
 
     def with_pairs(ws: Column) -> Column:
         tail = F.slice(ws, 2, F.greatest(F.size(ws) - 1, F.lit(0)))

@@ -8,19 +8,28 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stemma.functions import stats, text
 from stemma.operators import credit, evaluate, flatten, quality, resolve, sampling, topics
 from stemma.plans.registry import Registry
+from stemma.session import reused
 from stemma.tables import clean_links, latest_works, load
 
 REG = Registry()
 
-# The corpus filter of the analysis: one term of each group; the baseline: one of its terms.
-AI_TERMS = ["machine learning", "deep learning", "neural network", "artificial intelligence", "transformer model"]
-BIO_TERMS = ["genomics", "genome", "transcriptomics", "gene expression", "protein"]
+# The search terms of the corpus (one of each group must be mentioned) and of its baseline (one of them), and the work types.
+AI_TERMS = [
+    "machine learning", "deep learning", "neural network", "artificial intelligence", "large language model", "transformer model",
+    "random forest", "support vector machine", "convolutional neural network", "graph neural network", "foundation model", "generative model",
+]
+BIO_TERMS = [
+    "genomics", "genome", "gene expression", "transcriptomics", "single-cell", "protein structure", "protein design", "CRISPR",
+    "gene editing", "synthetic biology", "variant calling", "epigenomics", "metagenomics", "drug discovery",
+]
+BASELINE_TERMS = ["genomics", "genome", "transcriptomics", "CRISPR", "synthetic biology", "protein design"]
+WORK_TYPES = ["article", "preprint", "review"]
 EARLY, RECENT = (2013, 2016), (2018, 2020)
 
 
@@ -59,8 +68,63 @@ _AF = f"""af as materialized (
 _ALIAS = """alias as (
   select norm, resolved_institution_id as institution_id from af where resolved_institution_id is not null and norm <> ''
   group by 1, 2 qualify row_number() over (partition by norm order by count(*) desc, resolved_institution_id) = 1)"""
-_RES = "res as (select work_id, author_order, raw_affiliation, institution_id from af left join alias using (norm) where n_resolved_institutions = 0)"
-_EN = f"""{_W}, {_LK}, {_INST}, {_AF}, {_ALIAS}, {_RES}, rec as (
+_EXACT = "res as (select work_id, author_order, raw_affiliation, institution_id from af left join alias using (norm) where n_resolved_institutions = 0)"
+
+
+def segments_sql(norm: str) -> str:
+    """The oracle's form of text.org_segments."""
+    words = ", ".join(f"'{w}'" for w in text.ORG_WORDS)
+    segs = f"list_filter(list_transform(string_split({norm}, ','), lambda x: trim(x)), lambda x: x <> '')"
+    kept = f"""list_filter({segs}, lambda x: len(list_intersect(string_split(x, ' '), [{words}])) > 0
+      and not regexp_matches(x, '^({"|".join(text.PART_PREFIXES)})'))"""
+    return f"case when len({kept}) > 0 then {kept} else ({segs})[:2] end"
+
+
+def _sorted_sql(c: str) -> str:
+    """The oracle's form of resolve.token_sort for normalised text."""
+    return f"array_to_string(list_sort(string_split({c}, ' ')), ' ')"
+
+
+# LCS by rows of its table: each letter of one text turns the row of the letters before it into its own.
+_LCS = """list_max(list_reduce(list_prepend(list_transform(string_split(b, ''), lambda d: 0),
+      list_transform(string_split(a, ''), lambda c: list_transform(string_split(b, ''), lambda d: case when c = d then 1 else 0 end))),
+      lambda r, m: list_transform(range(1, len(m) + 1), lambda j: list_max(list_transform(range(1, j + 1),
+        lambda k: greatest(r[k], (case when k > 1 then r[k - 1] else 0 end) + m[k]))))))"""
+
+
+def _cascade_sql(known: str, asked: str, p: str = "") -> str:
+    """The oracle's cascade: ``{p}hit`` (norm, institution_id, method, score) of the distinct strings of ``asked``, aliases from ``known``.
+
+    Names whose score can reach 90 differ by at most a tenth of their joint length, insertions and deletions counted, and
+    no fewer of these can be than edits in all; so the engine's edit distance is a lossless bound before the exact score.
+    """
+    return f"""{p}alias as (
+    select norm, resolved_institution_id as institution_id from {known} where norm <> ''
+    group by 1, 2 qualify row_number() over (partition by norm order by count(*) desc, resolved_institution_id) = 1
+  ), {p}open as materialized (select distinct norm from {asked}), {p}names as materialized (
+    select institution_id, n_works, {_sorted_sql("name")} as b from (select institution_id, n_works, {_norm_sql("institution_name")} as name from inst) where name <> ''
+  ), {p}segs as materialized (
+    select norm, unnest(g) as seg, generate_subscripts(g, 1) as pos from (
+      select norm, {segments_sql("norm")} as g from {p}open where norm not in (select norm from {p}alias))
+  ), {p}near as materialized (
+    select s.a, n.b from (select distinct {_sorted_sql("seg")} as a from {p}segs where length(seg) >= 6) s
+    join (select distinct b from {p}names) n on abs(length(a) - length(b)) * 10 <= length(a) + length(b) and levenshtein(a, b) * 10 <= length(a) + length(b)
+  ), {p}score as materialized (select a, b, 200.0::double * {_LCS} / (length(a) + length(b)) as score from {p}near),
+  {p}fuzzy as (
+    select norm, institution_id, score from {p}segs s join {p}score c on c.a = {_sorted_sql("s.seg")} join {p}names n using (b)
+    where length(seg) >= 6 and score >= 90
+    qualify row_number() over (partition by norm order by score desc, pos, n_works desc, institution_id) = 1
+  ), {p}hit as (
+    select o.norm, coalesce(l.institution_id, f.institution_id) as institution_id,
+      case when l.institution_id is not null then 'exact_alias' when f.institution_id is not null then 'fuzzy_name' else 'unresolved' end as method,
+      case when l.institution_id is not null then 100.0::double else coalesce(f.score, 0) end as score
+    from {p}open o left join {p}alias l using (norm) left join {p}fuzzy f using (norm))"""
+
+
+_CASCADE = f"""{_cascade_sql("(select * from af where resolved_institution_id is not null)", "(select * from af where n_resolved_institutions = 0)")}"""
+_RES = f"""{_CASCADE},
+  res as (select work_id, author_order, raw_affiliation, institution_id, method, score from af join hit using (norm) where n_resolved_institutions = 0)"""
+_EN = f"""{_W}, {_LK}, {_INST}, {_AF}, {_RES}, rec as (
   select r.work_id, r.author_order, i.country_code, count(*) over (partition by r.work_id, r.author_order) as k
   from (select distinct work_id, author_order, institution_id from res where institution_id is not null) r
   join inst i using (institution_id)
@@ -87,11 +151,11 @@ _TEXT = "lower(coalesce(title, '') || '. ' || coalesce(abstract, ''))"
 
 
 def _any(terms: list[str]) -> str:
-    return "(" + " or ".join(f"contains({_TEXT}, '{t}')" for t in terms) + ")"
+    return "(" + " or ".join(f"contains({_TEXT}, '{t.lower()}')" for t in terms) + ")"
 
 
 _YC = f"""{_W}, yc as (
-  select year, count(*) filter (where {_any(AI_TERMS)} and {_any(BIO_TERMS)}) as ai_bio, count(*) filter (where {_any(BIO_TERMS)}) as bio_baseline
+  select year, count(*) filter (where {_any(AI_TERMS)} and {_any(BIO_TERMS)}) as ai_bio, count(*) filter (where {_any(BASELINE_TERMS)}) as bio_baseline
   from w where year is not null group by year)"""
 
 
@@ -123,14 +187,29 @@ class Base:
 
     @cached_property
     def exact(self) -> DataFrame:
-        """Unresolved strings resolved by alias only (what SQL can express of the cascade)."""
+        """Unresolved strings resolved by alias only."""
         known, open_ = self.affiliations
         rows = open_.join(resolve.alias_table(known.where("norm <> ''")), "norm", "left")
         return rows.select("work_id", "author_order", "raw_affiliation", "institution_id")
 
+    @cached_property
+    def resolved(self) -> DataFrame:
+        """Every unresolved string by the whole cascade, written once."""
+
+        def build() -> DataFrame:
+            cols = ("work_id", "institution_id", "institution_name", "country_code", "institution_type")
+            return resolve.resolved_affiliations(load(self.spark, self.sf, "affiliations_raw"), load(self.spark, self.sf, "authorship_inst", *cols))
+
+        return reused(self.spark, "resolved", self.paths("affiliations_raw", "authorship_inst"), build)
+
+    def paths(self, *tables: str) -> list[str]:
+        return [f"{self.sf}/{t}.parquet" for t in tables]
+
     @cached_property
     def enriched(self) -> DataFrame:
-        return credit.enriched_links(self.links, self.exact, self.institutions, self.works("n_authors"))
+        """The links of all authors, recovered ones too: one table, written once and read by every query on countries."""
+        build = lambda: credit.enriched_links(self.links, self.resolved, self.institutions, self.works("n_authors"))
+        return reused(self.spark, "enriched", self.paths("affiliations_raw", "authorship_inst", "author_countries", "works"), build)
 
     @cached_property
     def credit(self) -> DataFrame:
@@ -147,16 +226,16 @@ class Base:
         t = t.groupBy("work_id").agg(F.min("cluster").alias("cluster"), F.max("cluster").alias("hi"))
         return t.where("cluster = hi").select("work_id", "cluster")
 
-    def years(self) -> tuple[int, int]:
-        """First and last year with works: the range the queries are bound to."""
-        r = load(self.spark, self.sf, "works", "year", "work_id").where("work_id is not null").agg(F.min("year"), F.max("year")).first()
-        return r[0] if r[0] is not None else 0, r[1] if r[1] is not None else 0
+    def years(self) -> tuple[Column, Column]:
+        """First and last year with works, the range the queries are bound to: scalar subqueries, so no job runs while a query is built."""
+        y = load(self.spark, self.sf, "works", "year", "work_id").where("work_id is not null")
+        return y.agg(F.min("year")).scalar(), y.agg(F.max("year")).scalar()
 
     @cached_property
     def yearly(self) -> DataFrame:
         w = self.works("year", "title", "abstract").where("year is not null")
         t = F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce("abstract", F.lit("")))
-        ai, bio = text.search_filter(t, [AI_TERMS, BIO_TERMS]), text.mentions_any(t, BIO_TERMS)
+        ai, bio = text.search_filter(t, [AI_TERMS, BIO_TERMS]), text.mentions_any(t, BASELINE_TERMS)
         return w.groupBy("year").agg(F.count(F.when(ai, 1)).alias("ai_bio"), F.count(F.when(bio, 1)).alias("bio_baseline"))
 
 
@@ -270,12 +349,12 @@ _CS = f"""{_TP}, tw as (select w.*, tp.cluster from w join tp using (work_id)),
       coalesce(ea.s / nullif((select sum(s) from ea), 0), 0) as early_share, coalesce(re.s / nullif((select sum(s) from re), 0), 0) as recent_share
     from (select unnest(range(30)) as c) k left join sz on sz.cluster = k.c left join ea on ea.cluster = k.c left join re on re.cluster = k.c),
   cs1 as (select *, (recent_share + 0.005) / (early_share + 0.005) as growth_ratio from cs0),
-  cs as (select *, n_works >= 20 and growth_ratio >= (select quantile_cont(growth_ratio, 0.75) from cs1) as emerging from cs1)"""
+  cs as (select *, n_works >= 100 and growth_ratio >= (select quantile_cont(growth_ratio, 0.75) from cs1) as emerging from cs1)"""
 
 
 def _summary(d: Base) -> DataFrame:
     w = d.works("year", "sampling_weight", "citation_percentile").join(d.topics, "work_id")
-    return topics.cluster_summary(w, topics.cluster_year(w), 30, EARLY, RECENT, least_works=20)
+    return topics.cluster_summary(w, topics.cluster_year(w), 30, EARLY, RECENT)
 
 
 @REG.query(f"""with {_EN}, {_CS}, s as (select cluster, bloc, sum(cw) as o from vc join tp using (work_id) group by all)
@@ -352,10 +431,10 @@ def v1_country_credit(spark: SparkSession, sf: str) -> DataFrame:
 
 @REG.query(f"with {_EN} select work_id, year, sw as sampling_weight, n_countries, has_us, has_cn, has_africa, has_non_africa from cl")
 def v2_work_collab(spark: SparkSession, sf: str) -> DataFrame:
-    return Base(spark, sf).collab
+    return Base(spark, sf).collab.select("work_id", "year", "sampling_weight", "n_countries", "has_us", "has_cn", "has_africa", "has_non_africa")
 
 
-@REG.query(f"with {_INST} select * from inst")
+@REG.query(f"with {_INST} select institution_id, institution_name, country_code, institution_type, n_works from inst")
 def e1_institutions(spark: SparkSession, sf: str) -> DataFrame:
     return Base(spark, sf).institutions
 
@@ -379,30 +458,52 @@ def e4_aliases(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.alias_table(Base(spark, sf).affiliations[0].where("norm <> ''"))
 
 
-@REG.query(f"with {_AF}, {_ALIAS}, {_RES} select distinct * from res")
+@REG.query(f"with {_AF}, {_ALIAS}, {_EXACT} select distinct * from res")
 def e5_exact_alias(spark: SparkSession, sf: str) -> DataFrame:
     return Base(spark, sf).exact.distinct()
 
 
-@REG.query()
+@REG.query(f"""with {_INST}, {_AF}, {_cascade_sql("(select * from af where false)", "(select * from af where n_resolved_institutions = 0)")}
+  select norm, institution_id, round(score, 9) as score from fuzzy""")
 def e6_fuzzy_names(spark: SparkSession, sf: str) -> DataFrame:
-    """Best name of every unresolved string at 90 or more; the score is tested against brute force."""
+    """Best name of every unresolved string at 90 or more."""
     d = Base(spark, sf)
     inst = d.institutions.withColumn("norm_name", text.normalize_org(F.coalesce("institution_name", F.lit(""))))
-    return resolve.fuzzy_hits(d.affiliations[1].select("norm").distinct(), inst)
+    return resolve.fuzzy_hits(d.affiliations[1].select("norm").distinct(), inst).withColumn("score", F.round("score", 9))
 
 
-@REG.query()
+@REG.query(f"""with {_INST}, {_AF}, {_RES} select distinct * replace (round(score, 9) as score) from res""")
+def e9_resolved(spark: SparkSession, sf: str) -> DataFrame:
+    """The production pass: what each unresolved string means, by which step and with what score."""
+    return Base(spark, sf).resolved.withColumn("score", F.round("score", 9)).distinct()
+
+
+_HOLD = f"""{_INST}, {_AF}, kn as (select * from af where resolved_institution_id is not null),
+  pw as (select work_id, count(*) as n, md5(work_id || '-42') as h from kn group by work_id),
+  cw as (select work_id from pw qualify sum(n) over (order by h, work_id rows unbounded preceding) <= 2000),
+  ho as (select * from kn where work_id in (select work_id from cw)),
+  tr as (select * from kn where work_id not in (select work_id from cw) and norm not in (select norm from ho)),
+  {_cascade_sql("tr", "ho")}, rs as (select ho.*, hit.institution_id, hit.method from ho join hit using (norm)),
+  ms as (select unnest(['exact_alias', 'fuzzy_name']) as method),
+  sm as (select method, count(institution_id) as n_predicted, count(*) filter (where institution_id = resolved_institution_id) as n_correct
+    from ms left join rs using (method) group by method),
+  nn as (select count(*) as n from rs), ev as (select 'overall' as method, (select n from nn) as n_holdout, sum(n_predicted)::bigint as n_predicted,
+    sum(n_correct)::bigint as n_correct from sm union all select method, null, n_predicted, n_correct from sm)"""
+
+
+@REG.query(f"""with {_HOLD} select method, n_holdout, n_predicted, n_correct, round(n_correct / nullif(n_predicted, 0), 9) as precision,
+  round(n_correct / nullif((select n from nn), 0), 9) as recall from ev""")
 def e8_holdout_evaluation(spark: SparkSession, sf: str) -> DataFrame:
     d = Base(spark, sf)
     inst = d.institutions.withColumn("norm_name", text.normalize_org(F.coalesce("institution_name", F.lit(""))))
     holdout, train = resolve.holdout_split(d.affiliations[0])
-    return resolve.evaluation(resolve.resolve_strings(holdout, train, inst))
+    e = resolve.evaluation(resolve.resolve_strings(holdout, train, inst))
+    return e.withColumns({c: F.round(c, 9) for c in ("precision", "recall")})
 
 
-@REG.query()
+@REG.query(f"""with {_INST}, {_AF}, {_RES} select method, count(*) as n, round(count(*) / sum(count(*)) over (), 9) as share_of_unresolved from res group by method""")
 def e9_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    return resolve.coverage(resolve.resolved_affiliations(load(spark, sf, "affiliations_raw"), load(spark, sf, "authorship_inst")))
+    return resolve.coverage(Base(spark, sf).resolved).withColumn("share_of_unresolved", F.round("share_of_unresolved", 9))
 
 
 @REG.query(f"with {_EN} select work_id, author_order, country_code, round(weight, 9) as weight, source from en")

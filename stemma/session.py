@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,3 +64,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_REUSED: dict[tuple, DataFrame] = {}
+
+
+def source_state(spark: SparkSession, paths: list[str]) -> tuple:
+    """Bytes, files and time of change of each path: what a table derived from them depends on."""
+    out = []
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        size = fs.getContentSummary(path)
+        out.append((p, size.getLength(), size.getFileCount(), fs.getFileStatus(path).getModificationTime()))
+    return tuple(out)
+
+
+def reused(spark: SparkSession, label: str, paths: list[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """The table ``build`` gives, written once per application as long as the files at ``paths`` stay as they are."""
+    key = (spark.sparkContext.applicationId, label, source_state(spark, paths))
+    if key not in _REUSED:
+        _REUSED[key] = materialize(build(), label)
+    return _REUSED[key]

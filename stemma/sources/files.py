@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stemma import schemas
 
@@ -53,11 +55,22 @@ def read_labelled_csv(spark: SparkSession, path: str, schema=schemas.GOLD_CSV) -
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(schema).csv(path)
 
 
+#: What ``append_cache`` adds to a record: the number of its append, and its place in it.
+CACHE_ORDER = T.StructType([T.StructField("appended", T.LongType()), T.StructField("place", T.LongType())])
+
+
 def read_label_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The last record of each work_id of a JSON-lines cache that is only appended to."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("_i"), F.from_json("value", schemas.LABEL_RECORD).alias("r"))
-    last = lines.where("r.work_id is not null").groupBy("r.work_id").agg(F.max_by("r", "_i").alias("r"))
-    return last.select("r.*")
+    """The last record of each work_id of a JSON-lines cache that is only appended to.
+
+    What came last is told by the number of the append and the place in it, which ``append_cache``
+    writes; files and their reading order say nothing.  Lines without them (of another writer) are
+    older than any with them, and by their order in their own file among themselves.
+    """
+    schema = T.StructType([*schemas.LABEL_RECORD.fields, *CACHE_ORDER.fields])
+    lines = spark.read.text(path).select(F.from_json("value", schema).alias("r"), F.monotonically_increasing_id().alias("_i")).where("r.work_id is not null")
+    order = F.struct(F.coalesce("r.appended", F.lit(0)).alias("a"), F.coalesce("r.place", "_i").alias("p"))
+    last = lines.groupBy("r.work_id").agg(F.max_by("r", order).alias("r"))
+    return last.select(*[F.col("r")[f.name].alias(f.name) for f in schemas.LABEL_RECORD.fields])
 
 
 def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -66,7 +79,15 @@ def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> N
 
 
 def append_cache(df: DataFrame, path: str) -> None:
-    df.write.mode("append").json(path)
+    """Appends records, numbered so that the last of a key is known whatever order files are read in.
+
+    One writer at a time, as with any cache that is read, filled and appended to.
+    """
+    spark, at = df.sparkSession, df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    last = 0
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        last = spark.read.schema(CACHE_ORDER).json(path).agg(F.max("appended")).first()[0] or 0
+    df.withColumns({"appended": F.lit(last + 1).cast("bigint"), "place": F.monotonically_increasing_id()}).write.mode("append").json(path)
 
 
 def replace_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -80,20 +101,45 @@ def replace_view(df: DataFrame, name: str) -> None:
     df.createOrReplaceTempView(name)
 
 
+# Parts of a script within which neither ';' nor ':name' means anything: comments, and quoted strings and names.
+_OPAQUE = r"--[^\n]*|/\*(?s:.*?)\*/|'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"|`[^`]*`"
+_PIECE = re.compile(rf"(?P<opaque>{_OPAQUE})|(?P<end>;)|(?<![:\w]):(?P<name>[A-Za-z_]\w*)")
+
+
+def statements(script: str) -> list[tuple[str, set[str]]]:
+    """The statements of a script, each with the names of its parameters (:name)."""
+    out: list[tuple[str, set[str]]] = []
+    start, names, bare = 0, set(), ""  # bare: the statement without what is opaque and commented
+    last = 0
+    for m in [*_PIECE.finditer(script), None]:
+        bare += script[last : m.start() if m else len(script)]
+        last = m.end() if m else len(script)
+        if m and m["opaque"]:
+            bare += "" if m[0].startswith(("--", "/*")) else "x"
+        elif m and m["name"]:
+            names.add(m["name"])
+            bare += "x"
+        else:  # the end of a statement
+            if bare.strip():
+                out.append((script[start : m.start() if m else len(script)].strip(), names))
+            start, names, bare = last, set(), ""
+    return out
+
+
 def run_script(spark: SparkSession, script: str, **args: object) -> DataFrame | None:
     """Runs the statements of a script in turn with bound parameters (:name); gives the last result."""
     out = None
-    for statement in (s.strip() for s in script.split(";")):
-        body = "\n".join(x for x in statement.splitlines() if not x.strip().startswith("--")).strip()
-        if body:
-            used = {k: v for k, v in args.items() if f":{k}" in body}
-            out = spark.sql(body, args=used) if used else spark.sql(body)
+    for body, names in statements(script):
+        if missing := names - set(args):
+            raise ValueError(f"no value for the parameters {sorted(missing)}")
+        out = spark.sql(body, args={n: args[n] for n in names}) if names else spark.sql(body)
     return out
 
 
 def write_human_csv(df: DataFrame, path: str) -> None:
     """CSV for people to fill in; never overwrites what they may have filled in."""
-    df.write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
+    blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}  # texts are kept as they are
+    df.write.mode("errorifexists").options(header=True, escape='"', **blanks).csv(path)
 
 
 def write_manifest(path: str | Path, **values: object) -> None:

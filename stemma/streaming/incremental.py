@@ -38,3 +38,19 @@ def windowed_counts(events: DataFrame, length: str = "1 hour", delay: str = "2 h
     rows = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", delay)
     w = rows.groupBy(F.window("at", length), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return w.select(F.col("window.start").alias("start"), "event_type", "n", "total")
+
+
+def fetch_missing(spark: SparkSession, root: str, years: tuple[int, int], **options: object) -> list[int]:
+    """Fetches the years that ``root`` lacks from the paged source, one folder of JSON lines each; gives those fetched.
+
+    A folder counts as there once its commit marker is, so a fetch that was broken off is done again.
+    """
+    done = []
+    for year in range(years[0], years[1] + 1):
+        folder = f"{root}/works_{year}"
+        mark = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+        if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+            rows = spark.read.format("paged_search").options(**options, years=f"{year}-{year}").load()
+            rows.select("record").write.mode("overwrite").option("compression", "gzip").text(folder)
+            done.append(year)
+    return done

@@ -20,8 +20,10 @@ def latest_works(works: DataFrame) -> DataFrame:
 
     Ties are broken by the higher cited_by_count, then the greatest of the other
     columns, so the result does not depend on input order.  Rows without a
-    work_id are left out.  ``max_by`` combines map-side, so a work_id that holds
-    a third of all rows costs one row per map task, not a window over them all.
+    work_id are left out.  The maximum combines map-side (by a sort of each task's
+    own rows, as a struct is no fixed-width state), so a work_id that holds a third of
+    all rows costs one row per map task, and of each work one row moves, with only the
+    columns that the caller has selected.
     """
     rest = [c for c in works.columns if c != "work_id"]
     lead = [c for c in ("loaded_at", "cited_by_count") if c in rest]
