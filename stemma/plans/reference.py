@@ -357,17 +357,6 @@ def _summary(d: Base) -> DataFrame:
     return topics.cluster_summary(w, topics.cluster_year(w), 30, EARLY, RECENT)
 
 
-@REG.query(f"""with {_EN}, {_CS}, s as (select cluster, bloc, sum(cw) as o from vc join tp using (work_id) group by all)
-  select s.cluster, n_works, round(growth_ratio, 6) as growth_ratio, emerging, bloc, round(o / nullif(sum(o) over (partition by s.cluster), 0), 6) as bloc_share
-  from s join cs on cs.cluster = s.cluster""")
-def q7_cluster_country_mix(spark: SparkSession, sf: str) -> DataFrame:
-    d = Base(spark, sf)
-    s = d.credit.join(d.topics, "work_id").groupBy("cluster", "bloc").agg(F.sum("credit_weighted").alias("o"))
-    share = _r(_ratio(F.col("o"), F.sum("o").over(Window.partitionBy("cluster"))), "bloc_share")
-    s = s.select("cluster", "bloc", share)
-    return s.join(_summary(d).select("cluster", "n_works", _r("growth_ratio", "growth_ratio"), "emerging"), "cluster")
-
-
 @REG.query(f"""with {_W} select coalesce(language, 'unknown') as language, round(sum(sampling_weight), 6) as papers,
   round(sum(sampling_weight) / nullif(sum(sum(sampling_weight)) over (), 0), 6) as share from w group by 1""")
 def q8_language(spark: SparkSession, sf: str) -> DataFrame:
@@ -391,11 +380,12 @@ def q10_regions_by_source(spark: SparkSession, sf: str) -> DataFrame:
     return j.groupBy("source").agg(_r(_ratio(inside, F.sum("weight")), "na_eu"))
 
 
-_EX = f"""{_W}, {_TP}, xy as (select work_id, min(x) as x, min(y) as y from work_topics where x is not null and y is not null group by 1),
-  pt as (select tp.cluster, w.work_id, w.title, w.year, x, y from tp join xy using (work_id) join w using (work_id)),
-  ce as (select cluster, avg(x) as cx, avg(y) as cy from pt group by 1),
-  ds as (select pt.*, round(sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)), 9) as distance from pt join ce using (cluster)),
+_EX0 = """xy as (select work_id, min(x) as x, min(y) as y from work_topics where x is not null and y is not null group by 1),
+  pn as (select tp.cluster, w.work_id, w.title, w.year, x, y from tp join xy using (work_id) join w using (work_id)),
+  ce as (select cluster, avg(x) as cx, avg(y) as cy from pn group by 1),
+  ds as (select pn.*, round(sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)), 9) as distance from pn join ce using (cluster)),
   ex as (select *, row_number() over (partition by cluster order by distance, work_id) as rank from ds qualify rank <= 3)"""
+_EX = f"{_W}, {_TP}, {_EX0}"
 
 
 def _examples(d: Base) -> DataFrame:
@@ -532,29 +522,68 @@ def m7_examples(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _STOP = ", ".join(f"'{s.replace(chr(39), chr(39) * 2)}'" for s in topics.stop_words())
-_GR = f"""{_W}, {_TP}, tx as (
-    select cluster, list_filter(regexp_extract_all(lower(left(title || '. ' || coalesce(abstract, ''), 4000)), '[0-9a-z_]{{2,}}'), lambda x: x not in ({_STOP})) as ws
+_GR = f"""tx as (
+    select cluster, list_filter(regexp_extract_all(lower(title || '. ' || coalesce(abstract, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: x not in ({_STOP})) as ws
     from w join tp using (work_id) where title is not null
   ), gr as (select cluster, unnest(list_concat(ws, list_transform(list_zip(ws[:-2], ws[2:]), lambda p: p[1] || ' ' || p[2]))) as term from tx),
   tf as (select cluster, term, count(*) as n from gr group by all),
-  pt as (select term, count(*) as df from tf group by 1 having count(*) >= 2)"""
+  pt as (select term, count(*) as df, sum(n) as total from tf group by 1 having count(*) >= 2)"""
+_SCORE = "n / sum(n) over (partition by cluster) * ln(1 + (select count(distinct cluster) from tx) / (df + 1))"
+# the greedy choice: a list of one term each is folded into the list of the chosen ones
+_LABEL = f"""{_GR}, p6 as (select * from pt order by total desc, term limit 60000),
+  sc as (select cluster, term, round({_SCORE}, 12) as score from tf join p6 using (term)),
+  li as (select cluster, list([term] order by score desc, term desc) as every from sc group by 1),
+  ch as (select cluster, list_reduce(every, lambda c, x: case when len(c) >= 6 or len(list_filter(c, lambda t: list_contains(string_split(t, ' '), x[1])
+    or list_contains(string_split(x[1], ' '), t) or regexp_replace(t, 's+$', '') = regexp_replace(x[1], 's+$', ''))) > 0 then c else list_concat(c, x) end) as terms from li),
+  lb as (select cluster, array_to_string(terms, ', ') as top_terms, array_to_string(terms[:3], ' / ') as label from ch)"""
+
+
+def _documents(d: Base) -> DataFrame:
+    return topics.document_text(d.works("title", "abstract")).join(d.topics, "work_id")
+
+
+def _labels_of(d: Base) -> DataFrame:
+    """(cluster, top_terms, label); scores are rounded before they are ranked, so that ties are ties."""
+    scores = topics.cluster_terms(_documents(d)).withColumn("score", F.round("score", 12))
+    t = topics.top_terms(scores)
+    return t.select("cluster", F.array_join("terms", ", ").alias("top_terms"), F.array_join(F.slice("terms", 1, 3), " / ").alias("label"))
 
 
-@REG.query(f"""with {_GR} select cluster, term, round(n / sum(n) over (partition by cluster) * ln(1 + (select count(distinct cluster) from tx) / (df + 1)), 9) as score
-  from tf join pt using (term)""")
+@REG.query(f"with {_W}, {_TP}, {_GR} select cluster, term, round({_SCORE}, 9) as score from tf join pt using (term)")
 def m9_cluster_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of all terms that two clusters have, over whole texts."""
     d = Base(spark, sf)
-    docs = topics.document_text(d.works("title", "abstract"), 4000).join(d.topics, "work_id")  # as its SQL
-    return topics.cluster_terms(docs, vocabulary=10_000_000).withColumn("score", F.round("score", 9))
+    return topics.cluster_terms(_documents(d), vocabulary=10_000_000).withColumn("score", F.round("score", 9))
 
 
-@REG.query()
+@REG.query(f"with {_W}, {_TP}, {_LABEL} select * from lb")
 def m10_top_terms(spark: SparkSession, sf: str) -> DataFrame:
     """Six terms per cluster that don't repeat one another, and the label of the first three."""
+    return _labels_of(Base(spark, sf))
+
+
+@REG.query(f"""with {_W}, {_CS}, {_EX0}, {_LABEL} select cs.cluster, array_to_string(string_split(top_terms, ', ')[:3], ', ') as terms, n_works,
+    round(growth_ratio, 6) as growth_ratio, emerging, rtrim(left(title, 48)) || '...' as example
+  from cs left join lb on lb.cluster = cs.cluster left join ex on ex.cluster = cs.cluster and ex.rank = 1""")
+def j8_cluster_examples(spark: SparkSession, sf: str) -> DataFrame:
+    """Every cluster with its first three terms and, where it has one, the clipped title nearest to its centre."""
     d = Base(spark, sf)
-    docs = topics.document_text(d.works("title", "abstract")).join(d.topics, "work_id")
-    t = topics.top_terms(topics.cluster_terms(docs))
-    return t.select("cluster", F.array_join("terms", ", ").alias("top_terms"), F.array_join(F.slice("terms", 1, 3), " / ").alias("label"))
+    terms = F.array_join(F.slice(F.split("top_terms", ", "), 1, 3), ", ")
+    rows = _summary(d).join(_labels_of(d), "cluster", "left").join(_examples(d).where("rank = 1").select("cluster", "title"), "cluster", "left")
+    example = F.concat(text.clip(F.col("title"), 48), F.lit("..."))
+    return rows.select("cluster", terms.alias("terms"), "n_works", _r("growth_ratio", "growth_ratio"), "emerging", example.alias("example"))
+
+
+@REG.query(f"""with {_EN}, {_CS}, {_LABEL}, s as (select cluster, bloc, sum(cw) as o from vc join tp using (work_id) group by all)
+  select s.cluster, label, n_works, round(growth_ratio, 6) as growth_ratio, emerging, bloc, round(o / nullif(sum(o) over (partition by s.cluster), 0), 6) as bloc_share
+  from s join cs on cs.cluster = s.cluster left join lb on lb.cluster = s.cluster""")
+def q7_cluster_country_mix(spark: SparkSession, sf: str) -> DataFrame:
+    d = Base(spark, sf)
+    s = d.credit.join(d.topics, "work_id").groupBy("cluster", "bloc").agg(F.sum("credit_weighted").alias("o"))
+    share = _r(_ratio(F.col("o"), F.sum("o").over(Window.partitionBy("cluster"))), "bloc_share")
+    c = _summary(d).join(_labels_of(d), "cluster", "left")
+    c = c.select("cluster", "label", "n_works", _r("growth_ratio", "growth_ratio"), "emerging")
+    return c.join(s.select("cluster", "bloc", share), "cluster")
 
 
 @REG.query()
@@ -676,11 +705,24 @@ def c2_sampling_weights(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("work_id", "year", F.round("sampling_weight", 9).alias("sampling_weight"))
 
 
-@REG.query()
+_SAMPLE = f"""{_W}, sa as (select work_id, year, row_number() over (order by md5(work_id || '-42'), work_id) as k
+  from w where title is not null and length(abstract) > 200 qualify k <= 300)"""
+
+
+def _sampled(spark: SparkSession, sf: str) -> DataFrame:
+    return Base(spark, sf).works("title", "abstract", "year").where("title is not null and length(abstract) > 200")
+
+
+@REG.query(f"with {_SAMPLE} select work_id, year from sa")
 def c4_seeded_sample(spark: SparkSession, sf: str) -> DataFrame:
     """300 works with an abstract over 200 characters; a sample is the feature."""
-    w = Base(spark, sf).works("title", "abstract", "year").where("title is not null and length(abstract) > 200")
-    return sampling.seeded_sample(w, "work_id", 300).select("work_id", "year")
+    return sampling.seeded_sample(_sampled(spark, sf), "work_id", 300).select("work_id", "year")
+
+
+@REG.query(f"with {_SAMPLE} select work_id, year, k <= 150 as gold from sa")
+def c6_gold_of_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """The sample, and which half of it people label."""
+    return sampling.first_of_sample(_sampled(spark, sf), "work_id", 300, 150).select("work_id", "year", "gold")
 
 
 @REG.query(f"""with {_EN}, u as (select count(*) as n, count(distinct work_id) as d, avg(case when abstract is not null then 1.0 else 0.0 end) as a from w),
@@ -762,13 +804,15 @@ def f22_cagr(spark: SparkSession, sf: str) -> DataFrame:
 
 @REG.query(f"""with {_EN}, {_CS}, s as (select cluster, bloc, sum(cw) as o from vc join tp using (work_id) group by all),
   h as (select cluster, bloc, o / sum(o) over (partition by cluster) as share from s)
-  select h.cluster, round(coalesce(avg(share) filter (where bloc = 'United States'), 0), 6) as us, round(coalesce(avg(share) filter (where bloc = 'China'), 0), 6) as cn
-  from h join cs on cs.cluster = h.cluster where emerging group by 1""")
+  select h.cluster, emerging, round(coalesce(avg(share) filter (where bloc = 'United States'), 0), 6) as us, round(coalesce(avg(share) filter (where bloc = 'China'), 0), 6) as cn
+  from h join cs on cs.cluster = h.cluster group by all""")
 def a22_us_cn_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    """Shares of two blocs side by side for the emerging clusters; 0 where a bloc has none."""
-    mix = q7_cluster_country_mix(spark, sf).where("emerging")
-    p = mix.groupBy("cluster").pivot("bloc", ["United States", "China"]).agg(F.avg("bloc_share")).na.fill(0.0)
-    return p.select("cluster", _r("United States", "us"), _r("China", "cn"))
+    """Shares of two blocs side by side for every cluster, and whether it emerges; 0 where a bloc has none."""
+    d = Base(spark, sf)
+    s = d.credit.join(d.topics, "work_id").groupBy("cluster", "bloc").agg(F.sum("credit_weighted").alias("o"))
+    s = s.withColumn("share", F.col("o") / F.sum("o").over(Window.partitionBy("cluster"))).join(_summary(d).select("cluster", "emerging"), "cluster")
+    p = s.groupBy("cluster", "emerging").pivot("bloc", ["United States", "China"]).agg(F.avg("share")).na.fill(0.0)
+    return p.select("cluster", "emerging", _r("United States", "us"), _r("China", "cn"))
 
 
 @REG.query("""select k.keyword, count(*) as n, count(distinct work_id) as n_works, round(avg(score), 9) as mean_score, round(median(score), 6) as median_score,
@@ -811,3 +855,32 @@ def u1_union_all(spark: SparkSession, sf: str) -> DataFrame:
     y = Base(spark, sf).yearly
     part = lambda n, c: y.where(c).agg(F.lit(n).alias("period"), _r(F.avg("ai_bio"), "mean_ai"))
     return part("pre", "year < 2018").unionByName(part("post", "year >= 2018"))
+
+
+@REG.query("select work_id, any_value(title) as title, any_value(language) as language, any_value(sampling_weight) as sampling_weight from works where work_id is not null group by work_id")
+def a8_any_value(spark: SparkSession, sf: str) -> DataFrame:
+    """Any non-null value of what all deliveries of a work have alike."""
+    w = load(spark, sf, "works", "work_id", "title", "language", "sampling_weight").where("work_id is not null")
+    return w.groupBy("work_id").agg(*[F.any_value(c, ignoreNulls=True).alias(c) for c in ("title", "language", "sampling_weight")])
+
+
+def _list_sql(values: list[str]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+_QUOTED = "array_to_string(list_transform({t}, lambda x: '\"' || x || '\"'), ' OR ')"
+
+
+@REG.query(f"""select 'title_and_abstract.search:(' || {_QUOTED.format(t=_list_sql(AI_TERMS))} || ') AND (' || {_QUOTED.format(t=_list_sql(BIO_TERMS))}
+  || '),publication_year:2010-2025,type:' || array_to_string({_list_sql(WORK_TYPES)}, '|') as expression""")
+def f21_search_expression(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus filter as a remote source's search string."""
+    return spark.range(1).select(F.lit(text.search_expression([AI_TERMS, BIO_TERMS], WORK_TYPES, (2010, 2025))).alias("expression"))
+
+
+@REG.query(f"""with {_W} select work_id, year, type from w where {_any(AI_TERMS)} and {_any(BIO_TERMS)} and type in ('article', 'preprint', 'review') and year between 2010 and 2025""")
+def f21_corpus_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """The same filter as a predicate on the local corpus."""
+    w = Base(spark, sf).works("title", "abstract", "type", "year")
+    t = F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce("abstract", F.lit("")))
+    return w.where(text.corpus_filter(t, [AI_TERMS, BIO_TERMS], F.col("type"), WORK_TYPES, F.col("year"), (2010, 2025))).select("work_id", "year", "type")

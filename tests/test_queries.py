@@ -3,9 +3,9 @@
 import pytest
 from oracle import difference
 
-from stemma.plans import problems, reference, single
+from stemma.plans import connectors, problems, reference, single
 
-ALL = {n: (f, r.oracles.get(n)) for r in (reference.REG, single.REG, problems.REG) for n, f in r.queries.items()}
+ALL = {n: (f, r.oracles.get(n)) for r in (reference.REG, single.REG, connectors.REG, problems.REG) for n, f in r.queries.items()}
 
 
 @pytest.mark.parametrize("name", [n for n, (_, o) in ALL.items() if o])
