@@ -64,21 +64,35 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     _FIRST
     + """
 , i as (
-  select unnest(cast(a->'$.institutions' as json[])) as i from a
+  select work_id, ord, unnest(cast(a->'$.institutions' as json[])) as i from a
+), n as (
+  select i->>'$.id' as id, i->>'$.display_name' as name, work_id, ord from i
+), f as (
+  select distinct work_id, ord, true as has from n where coalesce(id, '') <> '' or coalesce(name, '') <> ''
 ), u as (
-  select 'author' as child, a->>'$.author.id' as id, a->>'$.author.display_name' as name from a
-  union all select 'institution', i->>'$.id', i->>'$.display_name' from i
-)
-select child, case when coalesce(id, '') <> '' then case child when 'author' then 'identified' else 'registered' end
-  when coalesce(name, '') <> '' then case child when 'author' then 'named' else 'unregistered' end else 'blank' end as subtype,
-  count(*) as n from u group by all
+  select work_id, ord, a->>'$.author.id' as id, a->>'$.author.display_name' as name from a
+), s as (
+  select case when coalesce(id, '') <> '' then 'identified' when coalesce(name, '') <> '' then 'named' else 'blank' end as own, coalesce(has, false) as has,
+    work_id from u left join f using (work_id, ord)
+), o as (
+  select distinct work_id from (select work_id, unnest(map_entries(cast(r->'$.abstract_inverted_index' as map(varchar, integer[])))) as e from w)
+  where e.key <> '' and len(list_filter(e.value, lambda x: x is not null)) > 0
+), t as (
+  select work_id, coalesce(r->>'$.primary_topic.display_name', '') <> '' or coalesce(r->>'$.primary_topic.subfield.display_name', '') <> ''
+    or coalesce(r->>'$.primary_topic.field.display_name', '') <> '' or coalesce(r->>'$.primary_topic.domain.display_name', '') <> '' as stated from w
+), h as (select distinct work_id from s where own <> 'blank')
+select 'author' as child, case when own <> 'blank' and has then own || '_affiliated' else own end as subtype, count(*) as n from s group by all
+union all select 'institution', case when coalesce(id, '') <> '' then 'registered' when coalesce(name, '') <> '' then 'unregistered' else 'blank' end, count(*) from n group by all
+union all select 'record', case when h.work_id is not null and o.work_id is not null then 'attributed_text' when h.work_id is not null then 'attributed'
+  when o.work_id is not null then 'text' when t.stated then 'classified' else 'bare' end, count(*)
+  from t left join h on h.work_id = t.work_id left join o on o.work_id = t.work_id group by all
 """
 )
 def p1_subtypes(spark: SparkSession, sf: str) -> DataFrame:
-    """How many authors and institutions fall into each structural subtype."""
+    """How many authors, institutions and whole records fall into each structural subtype."""
     raw = load(spark, sf, "raw_works", "file_name", "line_no", "record")
     rows = flatten.nodes(flatten.typed_records(flatten.first_deliveries(raw)))
-    rows = rows.where(F.col("child").isin("author", "institution"))
+    rows = rows.where(F.col("child").isin("author", "institution", "record"))
     return rows.groupBy("child", "subtype").agg(F.count("*").alias("n"))
 
 

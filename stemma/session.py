@@ -54,16 +54,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR[0]
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back.
+def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder as Parquet, in directories by ``partition_by`` if given, and read it back.
 
     Cuts the lineage; the result survives the loss of executors, which a
     ``localCheckpoint`` would not.  Used where one intermediate result feeds
     several consumers, so that it is computed once.
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
 
 
 _REUSED: dict[tuple, DataFrame] = {}

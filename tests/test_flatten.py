@@ -1,4 +1,5 @@
 import json
+import re
 
 from stemma.operators import flatten as fl
 
@@ -31,12 +32,28 @@ def test_full_record(spark):
     }
 
 
-def test_subtypes_route_objects(spark):
-    rec = {"id": "W1", "authorships": [{"author": {"id": "A"}}, {"author": {"display_name": "n"}}, {}], "keywords": [{"display_name": "k", "score": 0.5}, {"display_name": "k"}, {}]}
-    n = fl.nodes(fl.typed_records(fl.first_deliveries(raw(spark, rec))))
-    assert [(r.ord, r.subtype) for r in fl.subtype_table(n, "author").orderBy("ord").collect()] == [(0, "identified"), (1, "named"), (2, "blank")]
+def test_states_are_composed_bottom_up(spark):
+    inst = [{"display_name": "I"}, {}]
+    full = {"id": "W1", "authorships": [{"author": {"id": "A"}}, {"author": {"display_name": "n"}}, {}, {"author": {"id": "B"}, "institutions": inst}, {"author": {"display_name": "m"}, "institutions": inst}],
+            "keywords": [{"display_name": "k", "score": 0.5}, {"display_name": "k"}, {}], "abstract_inverted_index": {"w": [0]}}
+    recs = [full, {"id": "W2", "authorships": [{"author": {"id": "A"}}]}, {"id": "W3", "authorships": [{}], "abstract_inverted_index": {"w": [0]}},
+            {"id": "W4", "primary_topic": {"field": {"display_name": "F"}}}, {"id": "W5", "authorships": [], "abstract_inverted_index": {"w": []}}]
+    n = fl.nodes(fl.typed_records(fl.first_deliveries(raw(spark, *recs))))
+    w1 = fl.subtype_table(n, "author").where("work_id = 'W1'").orderBy("ord").collect()
+    assert [(r.ord, r.subtype) for r in w1] == [(0, "identified"), (1, "named"), (2, "blank"), (3, "identified_affiliated"), (4, "named_affiliated")]
     assert {r.subtype for r in fl.subtype_table(n, "keyword").collect()} == {"scored", "unscored", "blank"}
-    assert fl.subtype_table(n, "author", "named").count() == 1
+    assert {r.work_id: r.subtype for r in fl.subtype_table(n, "record").collect()} == {"W1": "attributed_text", "W2": "attributed", "W3": "text", "W4": "classified", "W5": "bare"}
+
+
+def test_nodes_are_routed_to_typed_tables(spark):
+    rec = {"id": "W1", "authorships": [{"author": {"id": "A"}, "institutions": [{"id": "I"}, {"display_name": "x"}]}, {"author": {"display_name": "n"}}]}
+    routed = fl.route(fl.nodes(fl.typed_records(fl.first_deliveries(raw(spark, rec)))))
+    named = fl.subtype_table(routed, "author", "named")
+    assert named.columns == ["work_id", "child", "ord", "sub_ord", "subtype", "name"] and [(r.ord, r.name) for r in named.collect()] == [(1, "n")]
+    plan = fl.child_items(routed)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*subtype#\d+ = registered", plan)
+    parents = fl.subtype_table(routed, "author").select("work_id", "ord")
+    assert fl.subtype_table(routed, "institution").join(parents, ["work_id", "ord"]).count() == 2  # every child finds its parent
 
 
 def test_first_delivery_counts_and_bad_lines_are_left_out(spark):
@@ -46,6 +63,8 @@ def test_first_delivery_counts_and_bad_lines_are_left_out(spark):
     df = raw(spark, bad, one, two, None, "", "[1]", "7", '{"id": ""}', '{"id": null}', "{}")
     assert found(df) == {("W1", "topic", 0, 0, "first")}
     assert found(df.unionAll(df)) == found(df)
+    nowhere = df.selectExpr("cast(null as string) as file_name", "cast(null as int) as line_no", "record")
+    assert len(found(nowhere)) == 1 and found(nowhere.repartition(5)) == found(nowhere)
 
 
 def test_wrong_types_and_empty_table(spark):
