@@ -37,7 +37,24 @@ def test_missing_and_wrong_labels_are_put_right(spark):
     got = {r.work_id: r.cluster for r in C.corrected(out).collect()}
     assert got == {f"W{i:04d}": truth[f"W{i:04d}"] for i in range(24)}
     d = C.described(out).collect()
-    assert {r.cluster for r in d} == {0, 1, 2} and all(r.n_works == 80 and r["rank"] <= 3 for r in d)
+    assert {r.cluster for r in d} == {0, 1, 2} and all(r["rank"] <= 3 for r in d)
+    assert sorted(r.n_works for r in d if r["rank"] == 1) == [80, 80, 81]  # the record without any known term is in the largest
+
+
+def test_same_clusters_on_any_partitioning(spark):
+    works, topics, _ = rows()
+    a, b = ({tuple(r) for r in C.clustered(spark.createDataFrame(works, W).repartition(n), spark.createDataFrame([(*t, 0.0) for t in topics], T)).collect()} for n in (2, 7))
+    assert a == b
+
+
+def test_records_of_rare_terms_and_accents(spark):
+    works, topics, truth = rows(120, 0, 0)
+    works += [("X1", "quetzal réseau", None, 1), ("X2", "quetzal", None, 1), ("X3", "xylophone", None, 1), ("X4", "ok", None, 1)]
+    topics += [("X1", 2), ("X2", None), ("X3", 1), ("X4", None)]
+    got = {r.work_id: r.cluster for r in run(spark, works, topics).collect()}
+    assert got["X2"] == 2 and got["X1"] == 2 and got["X3"] == 1 and got["X4"] is not None and len(got) == 124
+    expr = spark.createDataFrame([("Réseau de neurones 使用方法 CRISPR使用方法",)], "t string").selectExpr(C.terms_of("t") + " as x").first().x
+    assert {"reseau", "neurones", "crispr", "使用方法"} <= set(expr) and "seau" not in expr
 
 
 def test_without_labels_and_empty(spark):
@@ -53,16 +70,30 @@ def test_without_labels_and_empty(spark):
     assert run(spark, [], []).count() == 0
 
 
-def test_tree_keeps_count_and_sum_and_is_bounded():
+def test_tree_keeps_its_sums_and_bounds():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, C.DIM))
-    t = C.Tree(reach=0.1, leaves=40)
-    t.insert(np.ones(3000), x, [{i % 4: 1.0} for i in range(3000)])
-    assert len(t.n) <= 40 and t.n.sum() == 3000 and np.allclose(t.ls.sum(0), x.sum(0))
-    assert sum(sum(v.values()) for v in t.votes) == 3000
-    other = C.Tree(leaves=40)
-    other.insert(t.n, t.ls, t.votes)
-    assert other.n.sum() == 3000 and np.allclose(other.ls.sum(0), x.sum(0))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    t = C.Tree(reach=0.1, leaves=200)
+    t.insert(np.ones(3000), x, (x * x).sum(1), [{i % 4: 1.0} for i in range(3000)])
+
+    def checked(t):
+        n, ls, ss, votes = t.leaves()
+        assert len(n) <= 200 and n.sum() == pytest.approx(3000) and np.allclose(ls.sum(0), x.sum(0)) and ss.sum() == pytest.approx(3000)
+        assert sum(sum(v.values()) for v in votes) == 3000
+        assert (ss / n - (ls * ls).sum(1) / n**2 <= t.reach + 1e-9).all()  # no entry's radius is beyond the reach
+        return n, ls, ss, votes
+
+    other = C.Tree(t.reach, leaves=200)
+    other.insert(*checked(t))
+    checked(other)
+    deep = C.Tree(reach=0.5, leaves=10_000)
+    deep.insert(np.ones(3000), x, (x * x).sum(1), [{}] * 3000)
+    levels, level = 1, [deep.root]
+    while not level[0].leaf:
+        assert all(len(c.n) <= C.BRANCH and np.allclose(c.ls[k], b.ls.sum(0)) and c.n[k] == b.n.sum() for c in level for k, b in enumerate(c.below))
+        level, levels = [b for c in level for b in c.below], levels + 1
+    assert levels >= 3 and all(x.leaf and len(x.n) <= C.BRANCH for x in level)
 
 
 def test_ward_against_brute_force():
