@@ -24,7 +24,8 @@ assigned by their rarer terms, by a join (``by_rare_terms``).
 
 Defined results: records without title and abstract are assigned to no cluster
 and give no rows; repeated rows count once; a record of which no term says
-anything keeps its recorded cluster, or belongs to the largest.
+anything keeps its recorded cluster, or belongs to the largest (where nothing is
+recorded at all, it has no row).
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stemma.session import materialize
@@ -81,17 +82,25 @@ def texts(works: DataFrame, topics: DataFrame) -> DataFrame:
     )
 
 
-def term_weights(docs: DataFrame) -> DataFrame:
+def _terms() -> Column:
+    return F.explode(F.array_distinct(F.concat("tt", "ta"))).alias("term")
+
+
+def term_counts(docs: DataFrame) -> DataFrame:
+    """(term, recorded, k): how many records of each recorded cluster hold each term; written once."""
+    each = docs.where("recorded is not null").select("recorded", _terms())
+    return materialize(each.groupBy("term", "recorded").agg(F.count("*").alias("k")), "counts")
+
+
+def term_weights(docs: DataFrame, counts: DataFrame) -> DataFrame:
     """(term, weight) over all records."""
     base = docs.where("recorded is not null").groupBy("recorded").agg(F.count("*").alias("n"))
     labelled = base.agg(F.sum("n")).first()[0] or 0
     total = docs.count()
     least = max(MIN_WORKS, int(total * MIN_SHARE))
-    each = docs.select("recorded", F.explode(F.array_distinct(F.concat("tt", "ta"))).alias("term"))
     if not labelled:
-        df = each.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+        df = docs.select(_terms()).groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= least)
         return df.select("term", F.round(F.log(F.lit(float(max(total, 2))) / F.col("n")), 9).alias("weight")).where("weight > 0")
-    counts = each.where("recorded is not null").groupBy("term", "recorded").agg(F.count("*").alias("k"))
     n = counts.groupBy("term").agg(F.sum("k").alias("n")).where(F.col("n") >= least)
     b = base.select("recorded", (F.col("n") / labelled).alias("b"))
     c = counts.join(n, "term").join(F.broadcast(b), "recorded")  # one row per cluster
@@ -412,19 +421,18 @@ def assigned(vecs: DataFrame, centres: list[tuple[int, np.ndarray]]) -> DataFram
     return vecs.mapInArrow(run, "work_id string, recorded int, listed boolean, cluster int, similarity double, kept double")
 
 
-def by_rare_terms(left: DataFrame, docs: DataFrame) -> DataFrame:
+def by_rare_terms(left: DataFrame, docs: DataFrame, counts: DataFrame) -> DataFrame:
     """The assignment of records without weighted terms, by the recorded clusters that hold their terms, however few.
 
     A cluster's score is the sum over the record's terms of log(1 + k / b), with k its records that
-    have the term and b its share of all; ties go to the least number.
+    have the term and b its share of all; ties go to the least number.  The terms asked for are
+    written first, so that the planner knows their size (they are few, as a rule).
     """
-    words = F.explode(F.array_distinct(F.concat("tt", "ta"))).alias("term")
-    labelled = docs.where("recorded is not null")
-    base = labelled.groupBy("recorded").agg(F.count("*").alias("n"))
+    base = docs.where("recorded is not null").groupBy("recorded").agg(F.count("*").alias("n"))
     base = base.withColumn("b", F.col("n") / F.sum("n").over(Window.partitionBy()))  # one row per cluster
-    asked = left.select("work_id", words)
-    held = labelled.select("recorded", words).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "recorded").agg(F.count("*").alias("k"))
-    scores = asked.join(held, "term").join(base, "recorded").groupBy("work_id", "recorded").agg(F.sum(F.log(1 + F.col("k") / F.col("b"))).alias("s"))
+    asked = materialize(left.select("work_id", _terms()), "rare")
+    held = asked.join(counts, "term").join(base, "recorded")
+    scores = held.groupBy("work_id", "recorded").agg(F.sum(F.log(1 + F.col("k") / F.col("b"))).alias("s"))
     best = scores.groupBy("work_id").agg(F.max_by("recorded", F.struct(F.round("s", 9), -F.col("recorded"))).alias("best"))
     largest = base.agg(F.max_by("recorded", F.struct("n", -F.col("recorded"))).alias("largest"))
     rows = left.select("work_id", "recorded", "listed").join(best, "work_id", "left").join(largest)  # one row
@@ -436,10 +444,13 @@ def by_rare_terms(left: DataFrame, docs: DataFrame) -> DataFrame:
 def clustered(works: DataFrame, topics: DataFrame) -> DataFrame:
     """The assignment of every record that has a text."""
     docs = materialize(texts(works, topics), "terms")
-    vecs = materialize(vectors(docs, term_weights(docs)), "vectors")
+    counts = term_counts(docs)
+    vecs = materialize(vectors(docs, term_weights(docs, counts)), "vectors")
     rows = assigned(vecs, centroids(vecs))
-    left = docs.join(vecs.select("work_id"), "work_id", "left_anti")
-    return rows.unionByName(by_rare_terms(left, docs)) if vecs.count() < docs.count() else rows
+    if vecs.count() == docs.count():
+        return rows
+    left = materialize(docs.join(vecs.select("work_id"), "work_id", "left_anti"), "left")
+    return rows.unionByName(by_rare_terms(left, docs, counts))
 
 
 def corrected(rows: DataFrame) -> DataFrame:
