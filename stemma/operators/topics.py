@@ -6,9 +6,12 @@ cluster's text is ever concatenated, so word pairs stay within one document.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark import StorageLevel
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, PCA, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer, StopWordsRemover
@@ -18,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import unwrap_udt
 
+from stemma.session import materialize
+
 # Words that nearly every abstract of the field has and that say nothing about its topic.
 DOMAIN_STOP = (
     "learning machine deep model models data using based method methods approach results study analysis used use new "
@@ -85,52 +90,82 @@ def tfidf(docs: DataFrame, vocabulary: int = 50_000, min_df: int = 3) -> DataFra
     return rows.drop("_t", "_w", "_p", "_g", "_c", "_i", "_x")
 
 
-def _partial(rows, z: np.ndarray):
-    """A'(A z) of one partition's rows."""
-    out = None
-    for (x,) in rows:
-        i, v = (x.indices, x.values) if hasattr(x, "indices") else (np.arange(x.size), x.toArray())
-        if out is None:
-            out = np.zeros_like(z)
-        out[i] += v[:, None] * (v @ z[i])[None]
-    return [] if out is None else [out]
+#: Terms of a block of partial sums, and blocks of equal terms that one task adds up.
+TERM_BLOCK, ADDED = 2048, 32
+_BLOCK = "block int, task int, part binary"
+
+
+def _sparse(vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(indices, values) of each row of an unwrapped vector column."""
+    index, value = (pc.struct_field(vectors, f) for f in ("indices", "values"))
+    known = index.is_valid().to_numpy(zero_copy_only=False)
+    i_at, v_at = index.offsets.to_numpy(), value.offsets.to_numpy()
+    i_all, v_all = index.values.to_numpy(zero_copy_only=False), value.values.to_numpy(zero_copy_only=False)
+    for r in range(len(vectors)):
+        v = v_all[v_at[r] : v_at[r + 1]]
+        yield (i_all[i_at[r] : i_at[r + 1]] if known[r] else np.arange(len(v))), v
+
+
+def _add_blocks(key: tuple, parts: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(p.as_buffer()) for p in parts.column("part"))
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "task": pa.array([key[1].as_py()], pa.int32()), "part": pa.array([total.tobytes()], pa.binary())})
 
 
 def singular_vectors(rows: DataFrame, k: int, col: str = "features", rounds: int = 4, seed: int = 42) -> np.ndarray:
     """The leading right singular vectors (terms x k) by randomised subspace iteration.
 
-    Each round is one pass over the rows that adds up a (terms x k) block per
-    partition in a tree; both are bounded by the vocabulary and ``k``, whatever
-    the number of documents.
+    Each round is one pass over the rows in Arrow batches, which gives the sums of each
+    task by blocks of ``TERM_BLOCK`` terms; equal blocks are added in two steps, at most
+    ``ADDED`` at once in the first.  What a task or the driver holds is bounded by the
+    vocabulary and ``k``, whatever the number of documents.
     """
-    first = rows.select(col).first()
-    size = first[0].size
+    size = rows.select(col).first()[0].size
     wide = min(size, k + 10)
     z = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, wide)))[0]
-    data = rows.select(col).rdd
     sc = rows.sparkSession.sparkContext
+    # one partial sum for each core, not for each file split
+    data = rows.select(unwrap_udt(col).alias("x")).coalesce(max(1, sc.defaultParallelism))
     for _ in range(rounds):
         shared = sc.broadcast(z)
-        y = data.mapPartitions(lambda it, shared=shared: _partial(it, shared.value)).treeReduce(np.add)
-        z, s, _ = np.linalg.svd(y, full_matrices=False)
+
+        def products(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            z = shared.value
+            out = np.zeros_like(z)
+            for b in batches:
+                for i, v in _sparse(b.column(0)):
+                    out[i] += v[:, None] * (v @ z[i])[None]  # a row's part of A'(A z)
+            task = pa.array([TaskContext.get().partitionId()], pa.int32())
+            for k in range(0, len(out), TERM_BLOCK):
+                if (part := out[k : k + TERM_BLOCK]).any():
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), task, pa.array([part.tobytes()], pa.binary())], ["block", "task", "part"])
+
+        sums = data.mapInArrow(products, _BLOCK).withColumn("task", F.floor(F.col("task") / ADDED).cast("int"))
+        sums = sums.groupBy("block", "task").applyInArrow(_add_blocks, _BLOCK).withColumn("task", F.lit(0))
+        y = np.zeros_like(z)
+        for r in sums.groupBy("block", "task").applyInArrow(_add_blocks, _BLOCK).toLocalIterator():
+            y[r.block : r.block + TERM_BLOCK] = np.frombuffer(r.part).reshape(-1, wide)
+        shared.destroy()
+        z = np.linalg.svd(y, full_matrices=False)[0]
     return z[:, : min(k, size)]
 
 
 def latent(rows: DataFrame, id_col: str, components: int = 256, col: str = "features") -> DataFrame:
     """(id, features): projections on the leading right singular vectors (uncentred), to unit length."""
-    rows = rows.select(id_col, col).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = materialize(rows.select(id_col, col), "tfidf")
     first = rows.first()
     if first is None:
         return rows.withColumnRenamed(col, "features")
     v = singular_vectors(rows, max(1, min(components, first[1].size - 1)), col)
     shared = rows.sparkSession.sparkContext.broadcast(v)  # vocabulary x components, both bounded
 
-    @F.pandas_udf("array<double>")
-    def project(x: pd.DataFrame) -> pd.Series:
-        return pd.Series([(np.asarray(b) @ shared.value[np.asarray(a)] if a is not None else np.asarray(b) @ shared.value) for a, b in zip(x["indices"], x["values"])])
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            y = [v @ shared.value[i] for i, v in _sparse(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(y, pa.list_(pa.float64()))], ["id", "y"])
 
-    out = rows.select(id_col, array_to_vector(project(unwrap_udt(col))).alias("_y"))
-    return Normalizer(inputCol="_y", outputCol="features", p=2.0).transform(out).drop("_y")
+    kind = rows.schema[id_col].dataType.simpleString()
+    out = rows.select(id_col, unwrap_udt(col)).mapInArrow(project, f"id {kind}, y array<double>").select(F.col("id").alias(id_col), array_to_vector("y").alias("_y"))
+    return materialize(Normalizer(inputCol="_y", outputCol="features", p=2.0).transform(out).drop("_y"), "latent")
 
 
 def as_vectors(df: DataFrame, array_col: str = "embedding") -> DataFrame:
@@ -144,8 +179,7 @@ def n_clusters(documents: int, most: int = 30) -> int:
 
 def kmeans(rows: DataFrame, k: int, seed: int = 42, starts: int = 5) -> DataFrame:
     """Adds ``cluster`` and ``distance`` (to its own centre) by the best of several seeded starts."""
-    rows = rows.persist()
-    best = None
+    best = None  # the library keeps the rows of each fit in memory, and lets them go
     for s in range(starts):
         m = KMeans(k=k, seed=seed + s, featuresCol="features", predictionCol="cluster").fit(rows)
         if best is None or m.summary.trainingCost < best.summary.trainingCost:

@@ -647,7 +647,8 @@ def f6_authorship_inst(spark: SparkSession, sf: str) -> DataFrame:
         "work_id", F.col("ord").alias("author_order"), F.col("id").alias("institution_id"), F.col("name").alias("institution_name"), "ror", "country_code",
         F.col("type").alias("institution_type"),
     )
-    return i.join(a, ["work_id", "author_order"])
+    rows = i.join(a, ["work_id", "author_order"])
+    return rows.select("work_id", "author_order", "author_id", "author_name", "institution_id", "institution_name", "ror", "country_code", "institution_type")
 
 
 @REG.query(f"""with {_FR} select work_id, cast(author_order as integer) as author_order, unnest(cast(a->'$.raw_affiliation_strings' as varchar[])) as raw_affiliation,

@@ -35,10 +35,9 @@ def duck_rows(sql: str, sf_dir: str) -> tuple[list[str], list[tuple]]:
 def difference(df, sql: str, sf_dir: str) -> str:
     """'' when the query's rows equal the oracle's, else what differs."""
     cols, rows = duck_rows(sql, sf_dir)
-    if sorted(cols) != sorted(df.columns):
-        return f"columns {sorted(df.columns)} against {sorted(cols)}"
-    order = [cols.index(c) for c in df.columns]
-    want = Counter(tuple(canonical(r[i]) for i in order) for r in rows)
+    if cols != df.columns:
+        return f"columns {df.columns} against {cols}"
+    want = Counter(tuple(map(canonical, r)) for r in rows)
     got = Counter(tuple(canonical(v) for v in r) for r in df.collect())
     if want == got:
         return ""

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from stemma.functions.text import ORG_WORDS as text_words
 from stemma.operators import credit, evaluate, quality, resolve, sampling, topics
 from stemma.tables import latest_works
 
@@ -184,3 +185,56 @@ def test_kmeans_and_layout(spark):
     out = topics.layout(topics.kmeans(topics.as_vectors(rows), 2, starts=2)).collect()
     assert len(out) == 20 and len({(r.id % 2, r.cluster) for r in out}) == 2 and max(r.distance for r in out) < 0.2
     assert topics.n_clusters(10) == 2 and topics.n_clusters(100) == 5 and topics.n_clusters(10**6) == 30
+
+
+def test_topic_model_finds_planted_themes(spark):
+    """Texts of three vocabularies with a common one, in several languages: the clusters are the themes."""
+    r = random.Random(5)
+    themes = ["folding protein torsion docking residue".split(), "atlas droplet doublet embedding annotation".split(), "édition guide нуклеаза knockout 基因组".split()]
+    common = "study compared earlier claims noise reported several results".split()
+    docs = [(f"W{i:03d}", " ".join(r.choices(common, k=6) + r.choices(themes[i % 3], k=9))) for i in range(150)]
+    rows = topics.tfidf(spark.createDataFrame(docs, "work_id string, text string"), min_df=2)
+    out = topics.kmeans(topics.latent(rows, "work_id", 16), 3, starts=3).collect()
+    groups = {}
+    for x in out:
+        groups.setdefault(x.cluster, set()).add(int(x.work_id[1:]) % 3)
+    assert len(out) == 150 and sorted(map(sorted, groups.values())) == [[0], [1], [2]]
+
+
+def test_factors_by_blocks_of_terms(spark, monkeypatch):
+    """More terms than a block, sparse vectors, several tasks: the factors are those of the whole matrix."""
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    monkeypatch.setattr(topics, "TERM_BLOCK", 7)
+    g = np.random.default_rng(0)
+    x = np.where(g.random((60, 40)) < 0.3, g.random((60, 40)), 0) @ np.diag(0.7 ** np.arange(40))
+    rows = spark.createDataFrame([(i, Vectors.sparse(40, np.flatnonzero(v).tolist(), v[v != 0].tolist())) for i, v in enumerate(x)], ["id", "features"]).repartition(5)
+    v = topics.singular_vectors(rows, 3)
+    want = np.linalg.svd(x)[2][:3]
+    assert np.allclose(np.abs(v.T @ want.T), np.eye(3), atol=1e-3)
+
+
+def test_fuzzy_hits_in_blocks_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "NAME_BLOCK", 40)
+    monkeypatch.setattr(resolve, "SEGMENTS", 30)
+    r = random.Random(8)
+    word = lambda: r.choice(["north", "south", "lake", "hill", "river", "stone"])
+    names = [(f"I{i:03d}", f"university of {word()} {word()} {word()}", r.randint(0, 3)) for i in range(150)]
+    asked = list({f"universty of {word()} {word()} {word()}, {r.choice(['oslo', 'institute of ' + word()])}" for _ in range(120)})
+    got = {x.norm: (x.institution_id, x.score) for x in resolve.fuzzy_hits(spark.createDataFrame([(a,) for a in asked], "norm string"), spark.createDataFrame(names, "institution_id string, norm_name string, n_works long")).collect()}
+    for a in asked:
+        segs = [s.strip() for s in a.split(",")]
+        segs = [s for s in segs if set(s.split()) & set(text_words)] or segs[:2]
+        best = min(((-resolve.token_sort_ratio(s, n), p, -w, i) for p, s in enumerate(segs) if len(s) >= 6 for i, n, w in names), default=(0,))
+        if -best[0] >= 90:
+            assert got[a] == (best[3], pytest.approx(-best[0]))
+        else:
+            assert a not in got
+
+
+def test_gold_is_the_first_part_of_the_sample(spark):
+    df = spark.range(500).selectExpr("concat('W', id) as work_id")
+    rows = sampling.first_of_sample(df, "work_id", 40, 15).collect()
+    assert len(rows) == 40 and sum(x.gold for x in rows) == 15
+    assert {x.work_id for x in rows if x.gold} == {x.work_id for x in sampling.seeded_sample(df.repartition(7), "work_id", 15).collect()}

@@ -159,3 +159,58 @@ def test_windowed_counts_batch_equals_stream(spark, sf):
     ev = spark.read.parquet(f"{sf}/events.parquet")
     batch = incremental.windowed_counts(ev)
     assert batch.count() > 0 and batch.agg({"n": "sum"}).first()[0] == ev.count()
+
+
+def test_later_append_wins_whatever_the_files(spark, tmp_path):
+    """One old, small file, then a larger one: readers take large files first, the cache goes by append."""
+    old = spark.createDataFrame([("w1", "not_ai")], "work_id string, ai_role string")
+    new = spark.createDataFrame([(f"w{i}", "ai_method") for i in range(2000)], "work_id string, ai_role string").coalesce(1)
+    for order, want in (((old, new), "ai_method"), ((new, old), "not_ai")):
+        path = f"{tmp_path}/cache-{want}"
+        for part in order:
+            files.append_cache(part, path)
+        assert files.read_label_cache(spark, path).where("work_id = 'w1'").first().ai_role == want
+        assert files.read_label_cache(spark, path).count() == 2000
+
+
+def test_within_an_append_the_later_row_wins(spark, tmp_path):
+    files.append_cache(spark.createDataFrame([("w1", "a"), ("w1", "b")], "work_id string, ai_role string").coalesce(1), f"{tmp_path}/c")
+    assert files.read_label_cache(spark, f"{tmp_path}/c").first().ai_role == "b"
+
+
+def test_script_parts_and_parameters():
+    got = files.statements("select ':no; -- x' as a, `b;c` from t where d = :yes; -- end; :none\n/* ; */ select \"it''s;\", x::int, :two, :yes_2 ; ;\n-- nothing\n")
+    assert [sorted(n) for _, n in got] == [["yes"], ["two", "yes_2"]]
+    assert got[0][0].startswith("select ':no; -- x'") and "x::int" in got[1][0]
+
+
+def test_script_without_a_value(spark):
+    with pytest.raises(ValueError, match="least"):
+        files.run_script(spark, "select :least as x", other=1)
+
+
+def test_sheet_keeps_blanks_quotes_and_line_ends(spark, tmp_path):
+    rows = [("W1", 2010, "  a \"b\", c ", "x\ny", None, None), ("W2", None, "NA", "", None, None), ("W3", 1, None, "\\", None, None)]
+    df = spark.createDataFrame(rows, schemas.GOLD_CSV)
+    files.write_human_csv(df, f"{tmp_path}/s")
+    got = {r.work_id: (r.title, r.abstract) for r in files.read_labelled_csv(spark, f"{tmp_path}/s").collect()}
+    assert got["W1"] == ("  a \"b\", c ", "x\ny") and got["W2"][0] == "NA" and got["W3"] == (None, "\\")
+
+
+def test_nested_settings(tmp_path):
+    text = "paths: {raw_dir: x}\nproject: {title: T, contact_email: a@b.example}\ncorpus:\n  start_year: 2011\n  work_types: [article, review]\n  ai_terms: [machine learning]\n"
+    text += "topics: {n_clusters: 7, random_state: 3, early_window: [2000, 2001], embedding_model: m}\nllm_classification: {enabled: true, provider: p, model: m, gold_size: 9}\n"
+    (tmp_path / "n.yaml").write_text(text)
+    s = load_settings(tmp_path / "n.yaml")
+    assert (s.start_year, s.work_types, s.ai_terms, s.n_clusters, s.seed, s.early_years, s.gold_size) == (2011, ("article", "review"), ("machine learning",), 7, 3, (2000, 2001), 9)
+    (tmp_path / "bad.yaml").write_text("corpus: {nonsense: 1}\n")
+    with pytest.raises(ValueError, match="corpus.nonsense"):
+        load_settings(tmp_path / "bad.yaml")
+
+
+def test_years_already_fetched_are_skipped(spark, api, tmp_path):
+    Api.fails = 0
+    spark.dataSource.register(rest.PagedSearch)
+    fetch = lambda years: incremental.fetch_missing(spark, str(tmp_path), years, url=api, backoff="0.01", filter="x:1")
+    assert fetch((2010, 2011)) == [2010, 2011] and fetch((2010, 2012)) == [2012] and fetch((2010, 2012)) == []
+    assert spark.read.text(f"{tmp_path}/works_*").count() == 9
