@@ -67,7 +67,15 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode_corpus(load(spark, sf, "documents", "doc_id", "text"))
 
 
-@REG.query()
+def _runs_sql(key: str, text: str, table: str) -> str:
+    """All runs of twelve words of a table's texts, each once per key."""
+    return f"""select distinct {key}, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) as g from (
+      select {key}, list_transform(regexp_extract_all({text}, '[\\p{{L}}\\p{{N}}]+'), lambda x: lower(x)) as w from {table}
+      where {key} is not null and {text} is not null) where len(w) >= 12"""
+
+
+@REG.query(f"""with i as ({_runs_sql("item_id", "item_text", "eval_items")}), d as ({_runs_sql("doc_id", "text", "documents")})
+select distinct item_id, doc_id from i join d using (g)""")
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.found(load(spark, sf, "documents", "doc_id", "text"), load(spark, sf, "eval_items", "item_id", "item_text"))
 
@@ -79,12 +87,21 @@ def p9_spans(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.leaked_spans(docs, items).distinct()
 
 
-@REG.query()
+_WINDOWS = """with d as (select distinct doc_id, text from documents where doc_id is not null and length(text) >= 320), h as (
+  select doc_id, unnest(range(1, length(text) - 318)) as pos, unnest(list_transform(range(1, length(text) - 318), lambda i: md5(substr(text, i, 320)))) as g from d
+)"""
+
+
+@REG.query(f"""{_WINDOWS}, g as (select distinct doc_id, g from h)
+select distinct a.doc_id as doc_a, b.doc_id as doc_b from g a join g b on a.g = b.g and a.doc_id < b.doc_id""")
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return spans.Shared(load(spark, sf, "documents", "doc_id", "text")).pairs()
 
 
-@REG.query()
+@REG.query(f"""{_WINDOWS}, m as (select g from h group by g having count(distinct doc_id) > 1),
+s as (select doc_id, least(320, coalesce(pos - lag(pos) over (partition by doc_id order by pos), 320)) as step from h semi join m using (g)),
+c as (select doc_id, sum(step)::bigint as shared_chars from s group by doc_id), k as (select text, count(*) as n_copies from d group by text)
+select doc_id, length(text)::bigint as n_chars, shared_chars, n_copies, round(shared_chars / length(text), 4) as shared_part from c join d using (doc_id) join k using (text)""")
 def p10_shared(spark: SparkSession, sf: str) -> DataFrame:
     """How much of each document stands in other documents too."""
     c = spans.Shared(load(spark, sf, "documents", "doc_id", "text")).coverage()
