@@ -93,10 +93,15 @@ def search_filter(text: Column, groups: list[list[str]]) -> Column:
     return reduce(lambda a, g: a & mentions_any(text, g), groups[1:], mentions_any(text, groups[0]))
 
 
-def search_expression(groups: list[list[str]], types: list[str] | None = None, years: tuple[int, int] | int | None = None) -> str:
-    """The filter string of a remote source: text groups, and if given the year or range of years and the work types."""
+def search_expression(groups: list[list[str]]) -> str:
+    """The same filter as a search string for a remote source."""
     quoted = [" OR ".join(f'"{term}"' for term in group) for group in groups]
-    out = "title_and_abstract.search:" + " AND ".join(f"({q})" for q in quoted)
+    return " AND ".join(f"({q})" for q in quoted)
+
+
+def source_filter(groups: list[list[str]], types: list[str] | None = None, years: tuple[int, int] | int | None = None) -> str:
+    """A remote source's whole filter: the text search, and if given the year or range of years and the work types."""
+    out = f"title_and_abstract.search:{search_expression(groups)}"
     if years is not None:
         out += f",publication_year:{years}" if isinstance(years, int) else f",publication_year:{years[0]}-{years[1]}"
     if types:

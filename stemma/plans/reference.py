@@ -876,7 +876,7 @@ _QUOTED = "array_to_string(list_transform({t}, lambda x: '\"' || x || '\"'), ' O
   || '),publication_year:2010-2025,type:' || array_to_string({_list_sql(WORK_TYPES)}, '|') as expression""")
 def f21_search_expression(spark: SparkSession, sf: str) -> DataFrame:
     """The corpus filter as a remote source's search string."""
-    return spark.range(1).select(F.lit(text.search_expression([AI_TERMS, BIO_TERMS], WORK_TYPES, (2010, 2025))).alias("expression"))
+    return spark.range(1).select(F.lit(text.source_filter([AI_TERMS, BIO_TERMS], WORK_TYPES, (2010, 2025))).alias("expression"))
 
 
 @REG.query(f"""with {_W} select work_id, year, type from w where {_any(AI_TERMS)} and {_any(BIO_TERMS)} and type in ('article', 'preprint', 'review') and year between 2010 and 2025""")

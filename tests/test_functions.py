@@ -55,3 +55,8 @@ def test_kappa(spark):
 def test_cagr(spark):
     assert one(spark, stats.cagr(F.col("a"), F.col("b"), F.col("n")), a=100.0, b=121.0, n=2) == pytest.approx(0.1)
     assert one(spark, stats.cagr(F.col("a"), F.col("b"), F.col("n")), a=0.0, b=1.0, n=2) is None
+
+
+def test_source_filter():
+    assert text.source_filter([["a", "b"]], ["article", "review"], (2010, 2012)) == 'title_and_abstract.search:("a" OR "b"),publication_year:2010-2012,type:article|review'
+    assert text.source_filter([["a"]], None, 2011) == 'title_and_abstract.search:("a"),publication_year:2011'
