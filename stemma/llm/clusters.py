@@ -119,12 +119,16 @@ def signs(terms: list[str]) -> np.ndarray:
 
 
 def vectors(docs: DataFrame, weights: DataFrame) -> DataFrame:
-    """(work_id, recorded, listed, v): unit vectors of the records that hold a weighted term."""
+    """(work_id, recorded, listed, v): unit vectors of all records; v is null where a record holds no weighted term."""
     rows = weights.limit(MAX_TERMS + 1).collect()
     if len(rows) > MAX_TERMS:
         raise ValueError(f"more than {MAX_TERMS} terms")
     shared = docs.sparkSession.sparkContext.broadcast(sorted((r.term, float(r.weight)) for r in rows))
 
+    def bare(b: pa.RecordBatch, rows: np.ndarray) -> pa.RecordBatch:
+        cols = [b.column(c).take(pa.array(rows, pa.int64())) for c in ("work_id", "recorded", "listed")]
+        return pa.RecordBatch.from_arrays([*cols, pa.nulls(len(rows), pa.list_(pa.float32()))], ["work_id", "recorded", "listed", "v"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.array([t for t, _ in shared.value], pa.string())
         weight, sign = np.array([w for _, w in shared.value], np.float32), signs([t for t, _ in shared.value]).astype(np.float32)
@@ -141,6 +145,7 @@ def vectors(docs: DataFrame, weights: DataFrame) -> DataFrame:
                     counts.append(np.full(len(hit), by, np.float32))
                 key, back = np.unique(np.concatenate(keys), return_inverse=True)
                 if not len(key):
+                    yield bare(b, np.arange(b.num_rows))
                     continue
                 n = np.bincount(back, np.concatenate(counts)).astype(np.float32)
                 owner, term = np.divmod(key, len(known))
@@ -152,6 +157,8 @@ def vectors(docs: DataFrame, weights: DataFrame) -> DataFrame:
                 flat = pa.array(v.astype(np.float32).ravel(), pa.float32())
                 vs = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * DIM, pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([*(b.column(c).take(sel) for c in ("work_id", "recorded", "listed")), vs], ["work_id", "recorded", "listed", "v"])
+                if len(rows) < b.num_rows:
+                    yield bare(b, np.setdiff1d(np.arange(b.num_rows), rows))
 
     return docs.mapInArrow(run, "work_id string, recorded int, listed boolean, v array<float>")
 
@@ -445,11 +452,13 @@ def clustered(works: DataFrame, topics: DataFrame) -> DataFrame:
     """The assignment of every record that has a text."""
     docs = materialize(texts(works, topics), "terms")
     counts = term_counts(docs)
-    vecs = materialize(vectors(docs, term_weights(docs, counts)), "vectors")
+    every = materialize(vectors(docs, term_weights(docs, counts)), "vectors")
+    vecs = every.where("v is not null")
     rows = assigned(vecs, centroids(vecs))
-    if vecs.count() == docs.count():
+    bare = materialize(every.where("v is null").select("work_id"), "bare")  # written, so that the planner knows their size
+    if bare.isEmpty():
         return rows
-    left = materialize(docs.join(vecs.select("work_id"), "work_id", "left_anti"), "left")
+    left = materialize(docs.join(bare, "work_id", "left_semi"), "left")
     return rows.unionByName(by_rare_terms(left, docs, counts))
 
 
