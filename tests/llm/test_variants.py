@@ -130,3 +130,51 @@ def test_recall_and_precision_on_planted_variants(spark):
     got = linked(spark, list(truth))
     want = {tuple(sorted(p)) for p in combinations(truth, 2) if truth[p[0]] == truth[p[1]]}
     assert len(got & want) / len(want) >= 0.9 and len(got & want) / len(got) >= 0.95
+
+
+def found(spark, folder, rows):
+    """p5_found over tables in which each (institution_name, country_code, raw_affiliation) is one author's; None: no row."""
+    from stemma.llm import queries
+
+    a = [(f"W{i}", 0, n, c) for i, (n, c, _) in enumerate(rows) if n]
+    b = [(i, f"W{i}", 0, s, 1) for i, (_, _, s) in enumerate(rows) if s]
+    t = spark.createDataFrame(a, "work_id string, author_order int, institution_name string, country_code string")
+    t.selectExpr("*", "cast(null as string) as institution_id").write.parquet(f"{folder}/authorship_inst.parquet")
+    t = spark.createDataFrame(b, "affil_id bigint, work_id string, author_order int, raw_affiliation string, n_resolved_institutions int")
+    t.selectExpr("*", "cast(null as string) as resolved_institution_id").write.parquet(f"{folder}/affiliations_raw.parquet")
+    return {tuple(r) for r in queries.REG.queries["p5_found"](spark, str(folder)).collect()}
+
+
+def test_names_that_several_could_have_are_settled_by_what_stands_beside_them(spark, tmp_path):
+    """Grows with the table: three organisations share the first letters and the kind, and one has a twin of another kind."""
+    rows = [
+        (["Lomkendalfor Clinic", "LOMKENDALFOR CLIN.", "Klinik Lomkendal", "Lomkendal Clinic Inc", "Lomkendalfor Clinic, Ostford, Kenya", "The Lomkendal Clinic, Ostford", "Lomkendal Clinic GmbH"], 0),
+        (["Lomkendalbun Clinic", "Lomkendalbun Clinics", "Lomkendalbun Clinic, Nimbay, Japan", "Lomkendal Clinic, Nimbay", "Lomkendal Clinics"], 1),
+        (["Lomkendaltis Clinic", "Lomkendaltis Clinics", "Lomkendaltis Clinic, Velholt, Chad"], 2),
+        (["Lomkendaltis Software", "Lomkendaltis Softw.", "Lomkendaltis Ltd"], 3),
+    ]
+    (a, b, c, d) = (x for x, _ in rows)
+    got = found(spark, tmp_path, [
+        (a[0], "KE", a[4]), (a[1], None, None), (a[2], None, a[4]), (a[3], None, a[5]), (a[6], "ke", None),  # the author's other name, its address, the country
+        (b[0], "JP", b[2]), (b[1], None, b[2]), (None, None, b[3]), (b[4], " JP ", None),
+        (c[0], "TD", c[2]), (c[1], None, None), (d[0], None, None), (d[1], None, "Lomkendaltis Software, Skorperk"), (d[2], None, "Lomkendaltis Software, Skorperk"),
+        ("Lomkendal Clinic Ltd", None, None),  # nothing says which
+    ])
+    d.append("Lomkendaltis Software, Skorperk")
+    assert got == {tuple(sorted(p)) for g in (a, b, c, d) for p in combinations(g, 2)}
+
+
+def test_unlike_names_of_one_author_are_not_linked(spark, tmp_path):
+    rows = [("Lomkendalfor Clinic", "KE", "Tarbusnelgim Hospital, Ostford, Kenya"), ("Lomkendalfor Clin.", "KE", "Tarbusnelgim Hosp., Ostford, Kenya"), (None, None, "")]
+    assert found(spark, tmp_path, rows) == {("Lomkendalfor Clin.", "Lomkendalfor Clinic"), ("Tarbusnelgim Hosp., Ostford, Kenya", "Tarbusnelgim Hospital, Ostford, Kenya")}
+
+
+def test_written_together(spark):
+    """Only where either table has one name; null keys, repeated rows and names with an id don't count."""
+    a = [("W1", 0, None, "A"), ("W1", 0, None, "A"), ("W2", 0, None, "B"), ("W2", 0, None, "C"), ("W3", 0, "I1", "D"), (None, 0, None, "E"), ("W5", None, None, "F"), ("W6", 1, None, None)]
+    b = [("W1", 0, "a", 1, None), ("W2", 0, "b", 1, None), ("W3", 0, "d", 1, None), (None, 0, "e", 1, None), ("W5", None, "f", 1, None), ("W6", 1, "g", 1, None)]
+    got = V.written_together(
+        spark.createDataFrame(a, "work_id string, author_order int, institution_id string, institution_name string"),
+        spark.createDataFrame(b, "work_id string, author_order int, raw_affiliation string, n_resolved_institutions int, resolved_institution_id string"),
+    )
+    assert [tuple(r) for r in got.collect()] == [("A", "a")]
